@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relgraph.llm import textops as tx
 
@@ -312,7 +313,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", ranks_file: str = RAN
     """``docs`` without its text and with ``n_tokens`` in its place: counts only."""
     kept = [c for c in docs.columns if c != text_col]
     source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("n_tokens", "int")
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add("n_tokens", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_file)
