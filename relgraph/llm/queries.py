@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontam, fingerprints, ngram_join, packing, token_counts, url_rules, warc
+from relgraph.llm import decontam, fingerprints, html_blocks, ngram_join, packing, pii, quality, token_counts, url_rules, warc
 from relgraph.llm.shared import table
 
 
@@ -20,6 +20,11 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,9 +41,18 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.pairs(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.decide(table(spark, sf_dir, "pages"), url_rules.default_rules(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op4_packing, op5_fingerprints, op6_decontamination, op7_ngram_join, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op3_quality, op4_packing, op5_fingerprints, op6_decontamination, op7_ngram_join, op8_html_extraction, op9_pii, op10_url_filter)}
 ORACLES = {"op2_warc_derivatives": warc.ORACLE_SQL, "op5_fingerprints": fingerprints.ORACLE_SQL, "op7_ngram_join": ngram_join.ORACLE_SQL, "op10_url_filter": url_rules.ORACLE_SQL}
