@@ -1,0 +1 @@
+"""relgraph: relevance retrieval over weighted relationship graphs, on Spark."""
