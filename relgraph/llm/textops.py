@@ -46,13 +46,19 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``points``, by one rolling sum over all of them."""
-    powers, inverses = _powers(len(points) + 1)
+def running_sums(points: np.ndarray) -> np.ndarray:
+    powers, _ = _powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     letters = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     letters ^= letters >> np.uint64(29)
     np.cumsum(letters * powers[: len(points)], out=sums[1:])
+    return sums
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span of ``points``, by one rolling sum over all of them (``sums``, where there is one already)."""
+    sums = running_sums(points) if sums is None else sums
+    _, inverses = _powers(len(points) + 1)
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -105,10 +111,18 @@ class StaticMap:
 
     def get(self, keys: np.ndarray, default: int) -> np.ndarray:
         out = np.full(len(keys), default, np.int64)
-        for bits, table, held, used in self.levels:
-            slots = self._slots(keys, bits)
+        if not self.levels:
+            return out
+        bits, table, held, used = self.levels[0]
+        slots = self._slots(keys, bits)
+        some = np.flatnonzero(used[slots])  # a key of a later level collided with one of the first
+        keys, slots = keys[some], slots[some]
+        for i, (bits, table, held, used) in enumerate(self.levels):
+            if i:
+                slots = self._slots(keys, bits)
             hit = (table[slots] == keys) & used[slots]
-            out[hit] = held[slots[hit]]
+            out[some[hit]] = held[slots[hit]]
+            some, keys = some[~hit], keys[~hit]
         return out
 
 

@@ -150,13 +150,14 @@ class Encoder:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         begins = np.cumsum(sizes) - sizes
         own = np.repeat(begins, sizes)  # where the piece of each byte begins
-        here = np.arange(len(joined))
+        at = np.arange(len(joined))
+        sums = tx.running_sums(joined)
         ends, froms, tokens = [], [], []
         for size in range(1, min(_SHORT, self.longest) + 1):
-            at = here[here - own + 1 >= size]  # last bytes of the candidates
+            at = at[at - own[at] + 1 >= size]  # last bytes of the candidates
             if not len(at):
                 break
-            token = self.by_hash.get(tx.span_hashes(joined, at - size + 1, at + 1).view(np.int64), -1)
+            token = self.by_hash.get(tx.span_hashes(joined, at - size + 1, at + 1, sums).view(np.int64), -1)
             found = token >= 0
             ends.append(at[found])
             froms.append(at[found] - size)
@@ -228,17 +229,31 @@ class Encoder:
             size = stop - run
             inside = np.arange(size.sum()) + np.repeat(run - (np.cumsum(size) - size), size)
             base = before[np.searchsorted(starts, run)]
-            counts[inside] = np.repeat(base, size) + self.table[inside + np.repeat(self._places(joined, points, run, stop) - run, size)]
+            spot = self._places(joined, points, run, stop)  # may make the table anew
+            counts[inside] = np.repeat(base, size) + self.table[inside + np.repeat(spot - run, size)]
         counts[contracted + 1] = before[np.searchsorted(starts, contracted)] + 2  # "'l" of "'ll": the letter is a pretoken yet
         return counts.astype(np.int32), begins
 
     def totals(self, texts: list[str | None]) -> list[int | None]:
-        """Tokens of each whole text; null for null."""
+        """Tokens of each whole text; null for null. Counts of pretokens are added up, without those of prefixes."""
         out: list[int | None] = []
         for part in tx.chunks(texts):
-            some = [t or "" for t in texts[part]]
-            counts, begins = self.prefix_counts(some)
-            out += [None if t is None else int(counts[b + len(t) - 1]) if t else 0 for t, b in zip(texts[part], begins.tolist(), strict=False)]
+            if len(self.where) > _CACHE_WORDS or self.used > _CACHE_COUNTS:
+                self.forget()
+            own = [t or "" for t in texts[part]]
+            joined = "\n".join(own)
+            points = tx.code_points(joined)
+            begins = np.cumsum([0, *(len(t) + 1 for t in own)])
+            counts = np.zeros(len(own), np.int64)
+            if len(points):
+                starts, _ = pretokens(points, begins)
+                ends = np.append(starts[1:], len(points))
+                at = self._places(joined, points, starts, ends)
+                total = self.table[at + ends - starts - 1].astype(np.int64)
+                total[np.searchsorted(starts, begins[1:-1] - 1)] = 0
+                sums = np.append(0, np.cumsum(total))[np.searchsorted(starts, begins)]
+                counts = np.diff(sums)
+            out += [None if t is None else int(n) for t, n in zip(texts[part], counts.tolist(), strict=True)]
         return out
 
 
