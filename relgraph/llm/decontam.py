@@ -15,7 +15,7 @@ searched in parts of that size, with a pass over the documents for each.
 
 Defined results: a null or empty text holds nothing; an item with a null id or text, or of
 fewer than two words, is not searched for. An item found in several places of a document
-is reported once, at its most similar place, the first of equals. Repeated documents and
+is reported once, at its most similar place (of equals that whose fingerprint is nearest, then the first). Repeated documents and
 items are each reported; an empty benchmark or corpus gives an empty result. Other
 columns are left out of ``find`` and kept by ``clean``.
 """
@@ -166,22 +166,23 @@ class Benchmark:
             return []
         grams = tx.grams(hashes, 2)
         lengths = np.diff(begins)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}  # similarity, bits apart (negative), place
         marks = simhashes(grams, {size: stride(size) for size in self.index})
         for size, (blocks, items, places) in self.index.items():
             query, target = blocks.search(marks[size])
             start = query * stride(size)
             document = np.searchsorted(begins, start, "right") - 1
-            for d, s, i, p in sorted(set(zip(document.tolist(), start.tolist(), items[target].tolist(), places[target].tolist(), strict=True))):
+            apart = np.bitwise_count(marks[size][query] ^ blocks.prints[target]).tolist()
+            for d, s, bits, i, p in sorted(set(zip(document.tolist(), start.tolist(), apart, items[target].tolist(), places[target].tolist(), strict=True))):
                 n = len(self.words[i])
                 low, high = max(int(begins[d]), s - p - n // 4), min(int(begins[d]) + int(lengths[d]), s - p + n + n // 4)
                 if high - low < 2:
                     continue
                 value = self.similarity(i, grams[low : high - 1])
-                if value >= threshold and value > best.get((d, i), (0.0,))[0]:
+                if value >= threshold and (value, -bits) > best.get((d, i), (0.0, 0))[:2]:
                     base = int(begins[d])
-                    best[d, i] = (value, max(0, s - p - base), min(int(lengths[d]), s - p + n - base))
-        return [(d, i, *v) for (d, i), v in sorted(best.items())]
+                    best[d, i] = (value, -bits, max(0, s - p - base), min(int(lengths[d]), s - p + n - base))
+        return [(d, i, value, a, b) for (d, i), (value, _, a, b) in sorted(best.items())]
 
 
 def _parts(benchmark: DataFrame, items_at_once: int) -> Iterator[list[Row]]:
