@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgraph.extract import extracts
 from relgraph.functions import text as tx
 from relgraph.functions import weights as wt
-from relgraph.operators import graph, propagate, resolve, retrieve, scoring, sync
+from relgraph.operators import graph, propagate, resolve, retrieve, scoring, slicing, sync
 from relgraph.plans import bindings as b
 from relgraph.storage import cut, table
 
@@ -456,3 +457,37 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = retrieve.seeds(scoring.scores(*_doc_nodes(spark, sf_dir)), 5).select("path", F.lit(True).alias("chosen"))
     line = F.concat(F.lit("- "), "path", F.lit(" [doc] "), F.col("size").cast("string"), F.lit(" bytes"))
     return f.join(top, "path", "left").select("path", line.alias("line"), F.when(F.col("chosen"), F.col("text")).alias("content"))
+
+
+# Source files made of parts ----------------------------------------------------------------------
+
+
+def _python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
+    body = F.concat(F.lit('"""'), F.col("p_type"), F.lit(' part. More."""\nfrom shop.'), name, F.lit(" import Base, item as thing\n\n\nclass Part"), F.col("p_partkey").cast("string"), F.lit("(Base):\n    def run(self):\n        return thing.run()\n\n\n@app.get('/parts/"), F.col("p_partkey").cast("string"), F.lit("')\ndef "), name, F.lit("():\n    return thing\n"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("shop/"), name, F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), body.alias("text"))
+
+
+@query("SELECT 'shop/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.py' AS path, p_type || ' part. More.' AS docstring, 'shop.' || replace(p_name, ' ', '_') AS module, 'Base,item' AS symbols, 3 AS usage, 1 AS bases, 'Part' || p_partkey || ',' || replace(p_name, ' ', '_') AS defined, '/parts/' || p_partkey AS routes FROM part")
+def python_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of Python files, one for each part."""
+    e = extracts(_python_files(spark, sf_dir)).withColumn("i", F.col("imports")[0])
+    return e.select("path", "docstring", F.col("i.module").alias("module"), F.array_join("i.symbols", ",").alias("symbols"), F.col("usage_counts")["thing"].alias("usage"), F.size("i.base_classes").alias("bases"), F.array_join("defined_symbols", ",").alias("defined"), F.array_join("http_routes", ",").alias("routes"))
+
+
+@query("SELECT p_partkey || '.ts' AS path, n.name, n.kind, n.s AS start, n.e AS end_ FROM part, (VALUES ('Part', 'class', 2, 6), ('make', 'fn', 7, 9)) n(name, kind, s, e)")
+def brace_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: symbols of TypeScript files, one for each part."""
+    text = F.concat(F.lit("// "), F.col("p_name"), F.lit("\nexport class Part {\n  run() {\n    return 1;\n  }\n}\nexport const make = (a) => {\n  return a;\n};\nif (x) {\n}\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), text.alias("text"))
+    return slicing.all_symbols(files).withColumnRenamed("end", "end_")
+
+
+@query()
+def slice_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of the files that a query selects, within its budget."""
+    f = _python_files(spark, sf_dir)
+    nodes = f.select("path", F.array().cast("array<string>").alias("symbols"), F.lit("").alias("description"), F.lit("other").alias("file_type"))
+    asked = questions(spark)
+    top = retrieve.seeds(scoring.scores(nodes, asked), 10).select("query_id", F.col("seed_rank").alias("position"), "path")
+    return slicing.pack(top, f, asked)
