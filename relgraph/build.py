@@ -89,7 +89,7 @@ def answer(g: Graph, question: str, depth: str = retrieve.DEFAULT_DEPTH, max_fil
     if g.nodes.count() < retrieve.SMALL_GRAPH:
         depth = "focused"
     asked = spark.createDataFrame([(1, question)], "query_id int, query string")
-    selected, summary = retrieve.retrieve(g.nodes, g.edges, asked, depth, max_files)
+    selected, summary = retrieve.retrieve(g.nodes, g.edges, asked, depth, max_files=max_files)
     rows = selected.orderBy("position").collect()  # fifteen and three at most
     if not rows:
         world = asked.select(knowledge_question(F.col("query")).alias("k")).first()["k"]
@@ -97,7 +97,8 @@ def answer(g: Graph, question: str, depth: str = retrieve.DEFAULT_DEPTH, max_fil
     total = summary.first()
     lines = [f"{question}: {len(rows)} of {total['total_files']} files, {total['selected_tokens']:,} of {total['total_tokens']:,} tokens ({total['savings_pct']:.0f} % less)"]
     for r in rows:
-        hint = " ".join(r["description"].split()[:5]).rstrip(".,;:")
+        words = r["description"].split()[:5]
+        hint = " ".join(words).rstrip(":;,.")
         lines.append(f"{r['position']}. {r['path']} ({r['score']}) {hint} - {r['reason']}")
     packed = slicing.pack(selected, g.contents, asked, slicing.BUDGETS.get(depth, slicing.BUDGETS["balanced"]))
     lines += [f"## {r['path']} [{r['mode']}]\n{r['block']}" for r in packed.orderBy("position").collect()]

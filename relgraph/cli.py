@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,8 +13,7 @@ from relgraph import build, sinks
 from relgraph.operators.retrieve import DEFAULT_DEPTH, DEPTHS
 
 
-def _store(root: str) -> str:
-    return os.path.join(root, ".relgraph")
+STORE = ".relgraph"
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -23,17 +23,16 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("question", nargs="?", default="")
     p.add_argument("--depth", choices=list(DEPTHS), default=DEFAULT_DEPTH)
     p.add_argument("--max-files", type=int)
-    p.add_argument("--docs", action="store_true")
-    p.add_argument("--no-sync", action="store_true")
+    for flag in ("--docs", "--no-sync"):
+        p.add_argument(flag, action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("relgraph").getOrCreate()
-    folder = _store(a.root)
+    folder = os.path.join(a.root, STORE)
     if a.command == "build":
         g = build.build_tree(spark, a.root, a.docs)
         sinks.save(g, folder)
         for name, text in (("map.md", sinks.repo_map(g)), ("report.md", sinks.report(g))):
-            with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-                f.write(text)
+            Path(folder, name).write_text(text, "utf-8")
         return 0
     if not os.path.isdir(os.path.join(folder, "nodes")):
         print("no graph here: build it first")
@@ -49,8 +48,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif a.command == "stats":
         print(sinks.summary(g).first().asDict())
     elif a.command == "viz":
-        with open(os.path.join(folder, "graph.html"), "w", encoding="utf-8") as f:
-            f.write(sinks.viewer(g, os.path.basename(os.path.abspath(a.root))))
+        Path(folder, "graph.html").write_text(sinks.viewer(g, Path(a.root).resolve().name), "utf-8")
     return 0
 
 

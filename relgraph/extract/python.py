@@ -11,10 +11,11 @@ _VERB_ROUTE = re.compile(r"@\w+\.(?:delete|get|head|options|patch|post|put)\s*\(
 _PLAIN_ROUTE = re.compile(r"@\w+\.route\s*\(\s*(?:\"([^\"']+)|'([^\"']+))[\"']")
 
 
-def _root(node: ast.expr) -> str | None:
-    while isinstance(node, ast.Attribute):
-        node = node.value
-    return node.id if isinstance(node, ast.Name) else None
+def _root(expression: ast.AST) -> str:
+    """The name that a chain of attributes begins with, if it begins with one."""
+    while hasattr(expression, "attr"):
+        expression = expression.value
+    return getattr(expression, "id", "")
 
 
 def extract(text: str) -> Facts:
@@ -22,7 +23,8 @@ def extract(text: str) -> Facts:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as problem:
         return Facts(error=f"syntax: {problem}")
-    facts, bound = Facts(docstring=(ast.get_docstring(tree) or "").strip()), {}
+    doc, bound = ast.get_docstring(tree), {}
+    facts = Facts(docstring=doc.strip() if doc else "")
     every = list(ast.walk(tree))
     for node in every:
         match node:
@@ -44,13 +46,16 @@ def extract(text: str) -> Facts:
                 facts.defined_symbols += [t.id for t in targets if isinstance(t, ast.Name)]
     for node in every:
         name = None
-        if isinstance(node, ast.ClassDef):
-            for base in node.bases:
-                facts.inherit(bound, _root(base) or "")
-        elif isinstance(node, ast.Attribute):  # counts besides the name at its root
-            name = _root(node)
-        elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
-            name = node.id
+        match node:
+            case ast.ClassDef(bases=bases):
+                for base in bases:
+                    facts.inherit(bound, _root(base))
+            case ast.Attribute():  # counts besides the name at its root
+                name = _root(node)
+            case ast.Name(id=name, ctx=ast.Load()):
+                pass
+            case _:
+                name = None
         if name in bound:
             facts.usage_counts[name] = facts.usage_counts.get(name, 0) + 1
     found = [*_VERB_ROUTE.findall(text), *_PLAIN_ROUTE.findall(text)]

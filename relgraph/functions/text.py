@@ -15,7 +15,8 @@ STOPWORDS = sorted(
     key=lambda w: (len(w), w),
 )
 BROAD = "all flow full every trace across entire global system overview pipeline structure everywhere framework end-to-end throughout architecture".split()
-FIELD_WEIGHTS = {"filename": 3.0, "symbols": 2.0, "description": 1.0, "type": 1.0}
+FIELD_WEIGHTS = {"type": 1.0, "description": 1.0, "symbols": 2.0, "filename": 3.0}
+CAMEL_PIECES = "|".join(("[A-Z]?[0-9a-z]+", "[A-Z]+(?![a-z])"))
 DESCRIPTION_CHARS, LARGE_TOKENS = 140, 800
 #: ``role=markers`` in the order in which they are tried.
 MARKERS = [
@@ -35,7 +36,7 @@ ROLE_PHRASES = dict(
 def terms(text: Column) -> Column:
     """Each run of letters and digits in lower case, then its camel-case pieces (so a plain word comes twice)."""
     runs = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
-    pieces = lambda r: F.transform(F.regexp_extract_all(r, F.lit("([A-Z]?[a-z0-9]+|[A-Z]+(?![a-z]))"), 1), F.lower)
+    pieces = lambda r: F.transform(F.regexp_extract_all(r, F.lit(f"({CAMEL_PIECES})"), 1), F.lower)
     return F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.lower(r)), pieces(r))))
 
 
@@ -78,7 +79,7 @@ def role(path: Column, with_doc_rule: bool = True) -> tuple[Column, Column]:
     low = F.lower(path)
     name, rooted = basename(low), F.concat(F.lit("/"), low)
     config = name.startswith(".env") | F.regexp_extract(name, "\\.([^.]*)$", 1).isin(CONFIG_EXTENSIONS)
-    named = reduce(lambda a, b: a | b, (name.contains(w) for w in ("config", "settings", "constants", "env", "secrets", "credentials")))
+    named = reduce(lambda a, b: a | b, (name.contains(w) for w in "constants settings credentials secrets config env".split()))
     test = name.startswith("test_") | name.endswith("_test.py") | name.contains(".test.") | name.contains(".spec.") | rooted.contains("/tests/") | rooted.contains("/__tests__/")
     kind = F.when(config | named, "config").when(test, "test")
     for label, markers in MARKERS:

@@ -24,7 +24,7 @@ CANDIDATE_SCHEMA = "path string, import_seq int, slot int, priority int, kind st
 Candidate = tuple[int, int, str, str, bool, bool, int]  # slot, priority, kind, key, exact, skip_self, take
 
 
-# Generic pieces ----------------------------------------------------------------------------------
+# Generic pieces
 
 
 def suffixes(paths: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def matching_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return plain.unionByName(any_).where(tx.route_matches(F.col("route"), F.col("call")))
 
 
-# Candidates by language --------------------------------------------------------------------------
+# Candidates by language
 
 
 def _python(path: str, module: str, level: int, symbols: list[str], relative: bool) -> Iterator[Candidate]:
@@ -104,15 +104,15 @@ def _js(path: str, module: str, level: int, symbols: list[str], relative: bool)
 
 
 def _go(path: str, module: str, level: int, symbols: list[str], relative: bool) -> Iterator[Candidate]:
-    parts = module.split("/")
-    for i in range(len(parts)):
-        if len(parts) - i > 1 or len(parts) == 1:
-            yield 0, i, "godir", "/".join(parts[i:]), i == 0, True, DIRECTORY_FILES
+    rest, i = module, 0
+    while rest and ("/" in rest or i == 0):
+        yield 0, i, "godir", rest, i == 0, True, DIRECTORY_FILES
+        rest, i = rest.partition("/")[2], i + 1
 
 
 def _java(path: str, module: str, level: int, symbols: list[str], relative: bool) -> Iterator[Candidate]:
     if module.endswith(".*"):
-        yield 0, 0, "javadir", module[:-2].replace(".", "/"), True, True, ALL
+        yield 0, 0, "javadir", module.removesuffix(".*").replace(".", "/"), True, True, ALL
     else:
         yield 0, 0, "suffix", module.replace(".", "/"), True, False, 1
 
@@ -123,8 +123,9 @@ def _rust(path: str, module: str, level: int, symbols: list[str], relative: bool
         yield 0, 0, "noext", beside, True, True, 1
         yield 0, 1, "noext", f"{beside}/mod", True, True, 1
         return
-    rest = [p for p in module.split("::")[1:] if p not in ("self", "super")]
-    for priority, key in enumerate(["/".join(rest), "/".join(rest[:-1])]):
+    _, *rest = module.split("::")
+    whole = "/".join(p for p in rest if p != "super" and p != "self")
+    for priority, key in enumerate((whole, posixpath.dirname(whole))):
         if key:
             yield 0, priority, "suffix", key, False, True, 1
 

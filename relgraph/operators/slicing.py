@@ -14,17 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.functions.text import STOPWORDS
+from relgraph.functions.text import CAMEL_PIECES, STOPWORDS
 
 HEADER_LINES, FRAMING_TOKENS, LOOKAHEAD, LEAST_LEFT = 20, 60, 5, 200
-BUDGETS = {"focused": 1500, "balanced": 2500, "deep": 4000, "exhaustive": 6000}
+BUDGETS = dict(zip(("exhaustive", "deep", "balanced", "focused"), (6000, 4000, 2500, 1500), strict=True))
+_ID = "[A-Za-z_$]" + r"[\w$]*"
 _BRACES = tuple(f".{e}" for e in "c cc cjs cpp cs cxx go h hh hpp java js jsx kt kts m mjs mm php rs scala swift ts tsx".split())
 _CONTROL = re.compile(r"\s*(?:" + "|".join("case catch default do else finally for guard if return switch try when while with".split()) + r")\b")
 _WORDS = "class def enum fn func function impl interface module namespace object record struct trait"
-_DEFINES = re.compile(rf"\b(?:{'|'.join(_WORDS.split())})\b|[A-Za-z_$][\w$]*\s*\(|=>")
+_DEFINES = re.compile(rf"\b(?:{'|'.join(_WORDS.split())})\b|{_ID}\s*\(|=>")
 _KIND = re.compile(r"\b(" + "|".join(w for w in _WORDS.split() if w not in ("def", "fn", "func", "function")) + r")\b")
-_NAMED = [re.compile(rf"\b(?:{'|'.join(_WORDS.split())}|type)\s+([A-Za-z_$][\w$]*)"), re.compile(r"\b(?:val|var|let|const)\s+([A-Za-z_$][\w$]*)\s*=")]
-_CALLED = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
+_NAMED = [re.compile(rf"\b(?:{'|'.join(_WORDS.split())}|type)\s+({_ID})"), re.compile(rf"\b(?:val|var|let|const)\s+({_ID})\s*=")]
+_CALLED = re.compile(rf"({_ID})\s*\(")
 _RESERVED = frozenset(f"{_WORDS} type if for while switch return new await async yield abstract final internal private protected public static const default export let val var bool byte char double float int long short string unsigned void".split())
 
 
@@ -37,15 +38,14 @@ class Symbol:
 
 
 def tokens(text: str) -> int:
-    return max(1, len(text) // 4)
+    whole = len(text) // 4
+    return whole or 1
 
 
 def terms(text: str) -> set[str]:
     """The tokenizer of ``functions.text``, as a set."""
-    out = set()
-    for run in re.findall("[A-Za-z0-9]+", text):
-        out.update(p.lower() for p in (run, *re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])", run)))
-    return out
+    runs = set(re.split("[^A-Za-z0-9]+", text)) - {""}
+    return {p.lower() for run in runs for p in (run, *re.findall(CAMEL_PIECES, run))}
 
 
 def python_symbols(text: str) -> list[Symbol] | None:
@@ -109,8 +109,8 @@ def slice_text(path: str, text: str, query: str, budget: int) -> tuple[str, int,
     asked = asked - set(STOPWORDS) or asked
     worth = {id(s): len(terms(s.name) & asked) for s in found}
     head_end = min(min(s.start for s in found) - 1, HEADER_LINES)
-    head = "\n".join(lines[:head_end]) if head_end > 0 else ""
-    spans = {id(s): f"[{s.start}-{s.end}]" for s in found}
+    head = "\n".join(lines[: max(0, head_end)])
+    spans = {id(s): "[%d-%d]" % (s.start, s.end) for s in found}  # noqa: UP031
     used = tokens(head) + tokens(" ".join(s.name + spans[id(s)] for s in found)) + FRAMING_TOKENS
     bodies: list[tuple[Symbol, str, str]] = []
     for s in sorted(found, key=lambda s: (-worth[id(s)], s.end - s.start)):
@@ -128,15 +128,15 @@ def slice_text(path: str, text: str, query: str, budget: int) -> tuple[str, int,
                     break
                 kept.append(line)
                 spent += tokens(line)
-            body, note = "\n".join([*kept, f"    # … truncated — read L{s.start}-{s.end} for the full body"]), " (truncated)"
+            body, note = "\n".join([*kept, "    # … truncated — read L" + spans[id(s)][1:-1] + " for the full body"]), " (truncated)"
         bodies.append((s, body, note))
         used += tokens(body)
     if not bodies:
         return None
     shown = {s.name for s, *_ in bodies}
     outline = " ".join(f"{s.name}{'✓' if s.name in shown else ''}{spans[id(s)]}" for s in sorted(found, key=lambda s: s.start))
-    out = [f"outline ({len(lines)} lines, ✓=shown): {outline}", *([f"# head [L1-{head_end}]:\n{head}"] if head else [])]
-    out += [f"# {s.kind} {s.name} [L{s.start}-{s.end}]{note}:\n{body}" for s, body, note in sorted(bodies, key=lambda b: b[0].start)]
+    out = ["outline (%d lines, ✓=shown): %s" % (len(lines), outline), *([f"# head [L1-{head_end}]:\n{head}"] if head else [])]
+    out += ["# " + f"{s.kind} {s.name} [L{spans[id(s)][1:]}{note}:\n{body}" for s, body, note in sorted(bodies, key=lambda b: b[0].start)]
     block = "\n".join(out)
     return block, tokens(block), "sliced"
 

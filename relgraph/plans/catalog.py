@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-# SQL of the bindings and functions -------------------------------------------------------------
+# SQL of the bindings and functions
 
 _FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, text, strlen(text)::BIGINT AS size FROM documents)"
 _PAGES = "modules AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, html FROM pages)"
@@ -61,8 +61,11 @@ _EDGES = f"""edges AS (SELECT src, dst, {_weight_sql("symbol_count", "usage", "i
 _GRAPH = f"{_NODES}, {_RELS}, {_EDGES}"
 
 
+_PIECES = "[A-Z]?[0-9a-z]+|[A-Z]+"
+
+
 def _terms_sql(x: str) -> str:
-    return f"flatten(list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda r: list_concat([lower(r)], list_transform(regexp_extract_all(regexp_replace(r, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+'), lambda p: lower(p)))))"
+    return f"flatten(list_transform(regexp_extract_all({x}, '[A-Za-z0-9]+'), lambda r: list_concat([lower(r)], list_transform(regexp_extract_all(regexp_replace(r, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '{_PIECES}'), lambda p: lower(p)))))"
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
@@ -113,7 +116,7 @@ _SELECTED = """picked AS (SELECT query_id, path, relevance, reason, rank FROM ch
 selected AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS position, p.path, round(relevance, 3) AS score, CASE WHEN greatest(1, n.size // 4) > 800 THEN reason || '  ⚠ large file (~' || format('{:,}', greatest(1, n.size // 4)) || ' tok) — search within it rather than reading in full' ELSE reason END AS reason, n.file_type, n.description, greatest(1, n.size // 4)::BIGINT AS tokens FROM picked p JOIN nodes n USING (path))"""
 
 
-# Files and text --------------------------------------------------------------------------------
+# Files and text
 
 
 @query(f"WITH {_FILES} SELECT 'doc' AS language, count(*) AS files, sum(size) AS bytes FROM files")
@@ -219,7 +222,7 @@ def test_downweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scores(nodes, questions(spark)).select("query_id", "path", F.round("score", 6).alias("score"))
 
 
-# Graph -----------------------------------------------------------------------------------------
+# Graph
 
 
 @query(f"WITH {_RELS} SELECT * FROM rels")
@@ -344,7 +347,7 @@ def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.withColumns({"cutoff": F.round("cutoff", 6), "savings_pct": F.round("savings_pct", 6)})
 
 
-# Resolution of links ---------------------------------------------------------------------------
+# Resolution of links
 
 
 @query(f"WITH {_PAGES} SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS href FROM modules")
@@ -401,7 +404,7 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.matching_routes(m, m.select(F.col("call").alias("route")).distinct())
 
 
-# Currency --------------------------------------------------------------------------------------
+# Currency
 
 _STATE = "'user/' || user_id || '/' || event_type || '/' || hour(ts) AS path, count(*) AS size, max(day(ts) % 10)::DOUBLE AS mtime, sha256(array_to_string(list_sort(list_distinct(list(floor(value)::BIGINT::VARCHAR))), ',')) AS sha256 FROM events"
 _SNAP = f"""old AS (SELECT {_STATE} WHERE ts < TIMESTAMP '{b.CUT_DATE}' GROUP BY 1), new AS (SELECT {_STATE} WHERE ts >= TIMESTAMP '{b.CUT_DATE}' GROUP BY 1),
@@ -440,7 +443,7 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-# Reports ---------------------------------------------------------------------------------------
+# Reports
 
 
 @query(f"WITH {_NODES}, n AS (SELECT count(*) AS nodes FROM nodes) SELECT CASE WHEN nodes < 80 THEN 'small' WHEN nodes <= 500 THEN 'medium' ELSE 'large' END AS tier, nodes, least(50, greatest(20, nodes // 20))::INT AS hubs FROM n")
@@ -459,7 +462,7 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(top, "path", "left").select("path", line.alias("line"), F.when(F.col("chosen"), F.col("text")).alias("content"))
 
 
-# Source files made of parts ----------------------------------------------------------------------
+# Source files made of parts
 
 
 def _python_files(spark: SparkSession, sf_dir: str) -> DataFrame:

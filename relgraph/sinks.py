@@ -77,5 +77,5 @@ def viewer(g: Graph, title: str) -> str:
     sizes = graph.degrees(g.nodes, g.edges)
     nodes = [{"id": r["path"], "type": r["file_type"], "value": 1 + r["degree"]} for r in g.nodes.select("path", "file_type").join(sizes, "path").orderBy("path").collect()]
     edges = [{"from": r["src"], "to": r["dst"], "weight": r["weight"], "strong": r["weight"] >= STRONG} for r in g.edges.orderBy("src", "dst").collect()]
-    data = json.dumps({"nodes": nodes, "edges": edges, "types": sorted({n["type"] for n in nodes})}).replace("</", "<\\/")
+    data = json.dumps({"types": sorted({n["type"] for n in nodes}), "edges": edges, "nodes": nodes}).replace("</", "<\\/")
     return _PAGE.format(title=html.escape(title), data=data)
