@@ -220,7 +220,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, i
                 item_type = pa.array([r[0] for r in shared.value] or [0]).type
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int32()) for c in columns[3:])], schema.names)
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(tx.lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -239,5 +239,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
                 keep[[d for d, *_ in _findings(bench, batch.column(place).to_pylist(), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tx.lean(run), docs.schema)
     return docs

@@ -287,4 +287,4 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
                 texts = [None if p is None else "\n".join(x.text for x, keep in zip(b, y, strict=True) if keep) for p, b, y in zip(pages_, found, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array([None if p is None else y.tolist() for p, y in zip(pages_, labels, strict=True)], pa.list_(pa.bool_()))], ["page_id", "text", "labels"])
 
-    return pages.select("page_id", F.col("html").cast("string")).mapInArrow(run, T.StructType([pages.schema["page_id"]]).add("text", T.StringType()).add("labels", T.ArrayType(T.BooleanType())))
+    return pages.select("page_id", F.col("html").cast("string")).mapInArrow(tx.lean(run), T.StructType([pages.schema["page_id"]]).add("text", T.StringType()).add("labels", T.ArrayType(T.BooleanType())))

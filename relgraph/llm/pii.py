@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relgraph.llm import textops as tx
+
 KINDS = ("secret", "email", "iban", "card", "ssn", "ip", "phone")
 _LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -205,7 +207,7 @@ def find(docs: DataFrame) -> DataFrame:
             out = replaced(batch.column(1), found)
             yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found], kinds)], ["doc_id", "text", "spans"])
 
-    return source.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]).add("spans", SPANS))
+    return source.mapInArrow(tx.lean(run), T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType())]).add("spans", SPANS))
 
 
 SPANS = T.ArrayType(T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
@@ -219,5 +221,5 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.set_column(place, "text", replaced(batch.column(place), batch_spans(batch.column(place))))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tx.lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

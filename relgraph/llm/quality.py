@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
             x = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
-    found = sorted((r["doc_id"], r["good"], tuple(r["x"])) for r in rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], labels.schema["quality"]]).add("x", T.ArrayType(T.DoubleType()))).withColumnRenamed("quality", "good").collect())
+    found = sorted((r["doc_id"], r["good"], tuple(r["x"])) for r in rows.mapInArrow(tx.lean(run), T.StructType([docs.schema["doc_id"], labels.schema["quality"]]).add("x", T.ArrayType(T.DoubleType()))).withColumnRenamed("quality", "good").collect())
     return Additive(np.array([r[2] for r in found]).reshape(-1, len(FEATURES)), np.array([r[1] for r in found]))
 
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW)
             p = shared.value.score(features(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= reject_below)], ["doc_id", "score", "accepted"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, T.StructType([docs.schema["doc_id"]]).add("score", T.DoubleType()).add("accepted", T.BooleanType()))
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tx.lean(run), T.StructType([docs.schema["doc_id"]]).add("score", T.DoubleType()).add("accepted", T.BooleanType()))
 
 
 def accept(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -205,4 +205,4 @@ def accept(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW)
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(features(batch.column(place).to_pylist())) >= reject_below))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tx.lean(run), docs.schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE, MARK = range(5)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -35,6 +38,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["powers"], _tables["inverses"]
 
 
+def release() -> None:
+    """Gives free memory back to the system: workers live on between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, with ``release`` when its task ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,7 +82,7 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums:
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: list, limit: int = 1 << 20) -> Iterator[slice]:
+def chunks(texts: list, limit: int = 1 << 19) -> Iterator[slice]:
     """Slices of ``texts`` of about ``limit`` characters; a longer text is a slice by itself."""
     begin, size = 0, 0
     for i, text in enumerate(texts):

@@ -32,7 +32,7 @@ from relgraph.llm import textops as tx
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUDGET = 2048
-_CACHE_WORDS, _CACHE_COUNTS = 400_000, 8_000_000
+_CACHE_WORDS, _CACHE_COUNTS = 200_000, 4_000_000
 _SHORT = 32
 
 
@@ -320,8 +320,9 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ends = np.cumsum(sizes) - 1
                 totals = pa.array(values[np.maximum(ends, 0)], mask=null)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), totals, lists], ["doc_id", "n_tokens", "prefix_tokens"])
+        enc.forget()
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens int, prefix_tokens array<int>")
+    return source.mapInArrow(tx.lean(run), f"doc_id {kind}, n_tokens int, prefix_tokens array<int>")
 
 
 def token_lengths(docs: DataFrame, text_col: str = "text", ranks_file: str = RANKS_FILE) -> DataFrame:
@@ -335,8 +336,9 @@ def token_lengths(docs: DataFrame, text_col: str = "text", ranks_file: str = RAN
         for batch in batches:
             arrays = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(enc.totals(batch.column(len(kept)).to_pylist()), pa.int32())], [*kept, "n_tokens"])
+        enc.forget()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tx.lean(run), schema)
 
 
 def tokens_at(prefix_tokens: Column, n_chars: Column) -> Column:
