@@ -16,7 +16,7 @@ STOPWORDS = sorted(
 )
 BROAD = "all flow full every trace across entire global system overview pipeline structure everywhere framework end-to-end throughout architecture".split()
 FIELD_WEIGHTS = {"type": 1.0, "description": 1.0, "symbols": 2.0, "filename": 3.0}
-CAMEL_PIECES = "|".join(("[A-Z]?[0-9a-z]+", "[A-Z]+(?![a-z])"))
+CAMEL_PIECES = "|".join(("[A-Z]?[0-9a-z]+", "[A-Z]+(?=[^a-z]|$)"))
 DESCRIPTION_CHARS, LARGE_TOKENS = 140, 800
 #: ``role=markers`` in the order in which they are tried.
 MARKERS = [
