@@ -5,13 +5,17 @@ size; the fingerprints of all of the item's windows are indexed, and those of ev
 document at a stride such that a verbatim copy, wherever it begins, has a window that
 is one of the item's. The index is multi-index Hamming: a fingerprint is cut into
 ``BLOCKS`` blocks, and every value within ``RADIUS // BLOCKS`` bits of an item's block leads to
-it, so every fingerprint within ``RADIUS`` is found. Candidates are then verified by the
+it, so every fingerprint within ``RADIUS`` is found. An edited copy can be further away than that, so
+each item is also indexed by its short runs of words, of the length (``run_of``) of which every copy at
+``SIMILARITY`` must have one unbroken, wherever single words were replaced, and those are looked
+up at every word of a document. Candidates are then verified by the
 weighted share of the item's word bigrams (rarer in the benchmark: heavier) that the
 document has where the window was, with the item's length to each side as slack.
 
 Documents are read once; nothing is shuffled. The benchmark goes to all executors
 while it is below ``ITEMS_AT_ONCE`` items, which is checked by a count; a larger one is
-searched in parts of that size, with a pass over the documents for each.
+searched in parts of that size, with a pass over the documents for each. Rarity is counted over the whole
+benchmark before it is split, so an item's similarity is the same however it is searched for.
 
 Defined results: a null or empty text holds nothing; an item with a null id or text, or of
 fewer than two words, is not searched for. An item found in several places of a document
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relgraph.llm import textops as tx
+from relgraph.llm.shared import cut
 
 SIMILARITY = 0.7
 RADIUS, BLOCKS, BITS = 11, (22, 21, 21), 64
 ITEMS_AT_ONCE = 20_000
+_KNOWN_BITS = 22  # of the table that tells which runs are no item's
 _PART = 1 << 13  # words fingerprinted at once, for the cache
 
 
@@ -56,6 +62,14 @@ def window_of(item_words: int) -> int:
     return max(s for s in sizes(item_words) if s + stride(s) - 1 <= item_words)
 
 
+def run_of(item_words: int, threshold: float = SIMILARITY) -> int:
+    """Words of the longest run that every copy has unbroken which keeps ``threshold`` of the item's bigrams:
+    a replaced word breaks two of them (words at the ends, or side by side, fewer, which leaves longer runs)."""
+    held = item_words - 1
+    broken = int((1 - threshold) * held + 1e-9)
+    return 1 + min(-(-(held - b) // (b // 2 + 1)) for b in range(broken + 1))
+
+
 def _running(grams: np.ndarray) -> np.ndarray:
     """Sums of each bit over the first 0, 1, 2, ... grams (at most ``2 * _PART``), by blocks of rows."""
     rows = -(-len(grams) // 128)
@@ -131,18 +145,20 @@ class Blocks:
 class Benchmark:
     """Items ready to be searched for."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], rarity: tuple[int, dict[int, int]] | None = None, threshold: float = SIMILARITY):
+        """``rarity``: how many items the whole benchmark has, and in how many each bigram is (1 where
+        it isn't said), if ``rows`` are a part of it."""
         rows = sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1]))
         hashes, begins = tx.words([r[1] for r in rows])
         words = [hashes[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
         keep = [i for i, w in enumerate(words) if len(w) > 1]
         self.ids, self.words = [rows[i][0] for i in keep], [words[i] for i in keep]
         self.grams = [tx.grams(w, 2) for w in self.words]
-        seen = Counter(g for grams in self.grams for g in set(grams.tolist()))
+        total, seen = rarity or (len(keep), Counter(g for grams in self.grams for g in set(grams.tolist())))
         self.weights = []
         for grams in self.grams:
             distinct, counts = np.unique(grams, return_counts=True)
-            rarity = 1 + np.log(max(1, len(keep)) / np.fromiter((seen[g] for g in distinct.tolist()), float, len(distinct)))
+            rarity = 1 + np.log(max(1, total) / np.fromiter((seen.get(g, 1) for g in distinct.tolist()), float, len(distinct)))
             self.weights.append((distinct, counts, rarity))
         self.index: dict[int, tuple[Blocks, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[int]] = {}
@@ -152,6 +168,17 @@ class Benchmark:
             prints = [simhashes(self.grams[i], {size: 1})[size] for i in items]
             places = np.concatenate([np.arange(len(p)) for p in prints])
             self.index[size] = (Blocks(np.concatenate(prints)), np.repeat(items, [len(p) for p in prints]), places)
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}  # known low bits, hashes ascending, items, places
+        by_run: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            by_run.setdefault(run_of(len(w), threshold), []).append(i)
+        for size, items in by_run.items():
+            own = [tx.grams(self.words[i], size) for i in items]
+            marks = np.concatenate(own)
+            order = np.argsort(marks, kind="stable")
+            known = np.zeros(1 << _KNOWN_BITS, bool)
+            known[marks & np.uint64(len(known) - 1)] = True
+            self.runs[size] = (known, marks[order], np.repeat(items, [len(m) for m in own])[order], np.concatenate([np.arange(len(m)) for m in own])[order])
 
     def similarity(self, item: int, grams: np.ndarray) -> float:
         """Weighted share of the item's bigrams, with their numbers, that are in ``grams``."""
@@ -168,33 +195,74 @@ class Benchmark:
         lengths = np.diff(begins)
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}  # similarity, bits apart (negative), place
         marks = simhashes(grams, {size: stride(size) for size in self.index})
+        tried: set[tuple[int, int, int]] = set()  # document, item, place of its first word
+
+        def verify(d: int, i: int, begin: int, bits: int) -> None:
+            n, base = len(self.words[i]), int(begins[d])
+            low, high = max(base, begin - n // 4), min(base + int(lengths[d]), begin + n + n // 4)
+            if high - low < 2:
+                return
+            value = self.similarity(i, grams[low : high - 1])
+            if value >= threshold and (value, -bits) > best.get((d, i), (0.0, -BITS - 2))[:2]:
+                best[d, i] = (value, -bits, max(0, begin - base), min(int(lengths[d]), begin + n - base))
+
         for size, (blocks, items, places) in self.index.items():
             query, target = blocks.search(marks[size])
             start = query * stride(size)
             document = np.searchsorted(begins, start, "right") - 1
             apart = np.bitwise_count(marks[size][query] ^ blocks.prints[target]).tolist()
             for d, s, bits, i, p in sorted(set(zip(document.tolist(), start.tolist(), apart, items[target].tolist(), places[target].tolist(), strict=True))):
-                n = len(self.words[i])
-                low, high = max(int(begins[d]), s - p - n // 4), min(int(begins[d]) + int(lengths[d]), s - p + n + n // 4)
-                if high - low < 2:
-                    continue
-                value = self.similarity(i, grams[low : high - 1])
-                if value >= threshold and (value, -bits) > best.get((d, i), (0.0, 0))[:2]:
-                    base = int(begins[d])
-                    best[d, i] = (value, -bits, max(0, s - p - base), min(int(lengths[d]), s - p + n - base))
+                tried.add((d, i, s - p))
+                verify(d, i, s - p, bits)
+        for size, (known, runs, items, places) in self.runs.items():
+            if len(hashes) < size:
+                continue
+            own = tx.grams(hashes, size)
+            hit = np.flatnonzero(known[own & np.uint64(len(known) - 1)])
+            low, high = np.searchsorted(runs, own[hit], "left"), np.searchsorted(runs, own[hit], "right")
+            many = high - low
+            start = np.repeat(hit, many)
+            target = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+            document = np.searchsorted(begins, start, "right") - 1
+            inside = start + size <= begins[document + 1]
+            found = set(zip(document[inside].tolist(), items[target][inside].tolist(), (start - places[target])[inside].tolist(), strict=True))
+            for d, i, begin in sorted(found - tried):
+                verify(d, i, begin, BITS + 1)  # after any that a fingerprint led to
         return [(d, i, value, a, b) for (d, i), (value, _, a, b) in sorted(best.items())]
 
 
-def _parts(benchmark: DataFrame, items_at_once: int) -> Iterator[list[Row]]:
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(part, gram, items)`` of an item's distinct bigrams; ``items`` is 1 with the first of each item."""
+    for batch in batches:
+        parts, grams, items = [], [], []
+        texts, numbers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for at in tx.chunks(texts):
+            hashes, begins = tx.words(texts[at])
+            for part, a, b in zip(numbers[at], begins[:-1], begins[1:], strict=True):
+                if b - a > 1:
+                    own = np.unique(tx.grams(hashes[a:b], 2))
+                    parts.append(np.full(len(own), part, np.int32))
+                    grams.append(own.view(np.int64))
+                    items.append(np.arange(len(own)) == 0)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(grams)), pa.array(np.concatenate(items).astype(np.int32))], ["part", "gram", "items"])
+
+
+def _parts(benchmark: DataFrame, items_at_once: int) -> Iterator[tuple[list[Row], tuple[int, dict[int, int]] | None]]:
+    """Rows of each part, and what ``Benchmark`` needs to know of the others."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     count = items.count()
     if count <= items_at_once:
-        yield items.collect()
+        yield items.collect(), None
         return
     parts = -(-count // items_at_once)
-    placed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)))
+    placed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)).cast("int"))
+    grams = cut(placed.mapInArrow(tx.lean(_bigrams), "part int, gram bigint, items int"))
+    total = grams.agg(F.sum("items")).first()[0] or 0
+    shared = cut(grams.groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1"))
     for part in range(2 * parts):
-        yield placed.where(F.col("part") == part).drop("part").collect()
+        own = grams.where(F.col("part") == part).select("gram").distinct().join(shared, "gram").collect()
+        yield placed.where(F.col("part") == part).drop("part").collect(), (total, {r["gram"] & (1 << 64) - 1: r["seen"] for r in own})
 
 
 def _findings(bench: Benchmark, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
@@ -207,17 +275,17 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, i
     """``(doc_id, item_id, similarity, first_word, end_word)`` for each item that a document holds."""
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"]]).add("similarity", T.DoubleType()).add("first_word", T.IntegerType()).add("end_word", T.IntegerType())
     source, out = docs.select("doc_id", F.col("text").cast("string")), None
-    for rows in _parts(benchmark, items_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    for rows, rarity in _parts(benchmark, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], rarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = None
             for batch in batches:
-                bench = bench or Benchmark(shared.value)
+                bench = bench or Benchmark(*shared.value, threshold)
                 ids = batch.column(0).to_pylist()
                 found = [(ids[d], bench.ids[i], value, a, b) for d, i, value, a, b in _findings(bench, batch.column(1).to_pylist(), threshold)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
-                item_type = pa.array([r[0] for r in shared.value] or [0]).type
+                item_type = pa.array([r[0] for r in shared.value[0]] or [0]).type
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int32()) for c in columns[3:])], schema.names)
 
         part = source.mapInArrow(tx.lean(run), schema)
@@ -228,13 +296,13 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, i
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """``docs`` without the rows that hold an item; columns are kept."""
     place = docs.columns.index("text")
-    for rows in _parts(benchmark, items_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    for rows, rarity in _parts(benchmark, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], rarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = None
             for batch in batches:
-                bench = bench or Benchmark(shared.value)
+                bench = bench or Benchmark(*shared.value, threshold)
                 keep = np.ones(batch.num_rows, bool)
                 keep[[d for d, *_ in _findings(bench, batch.column(place).to_pylist(), threshold)]] = False
                 yield batch.filter(pa.array(keep))

@@ -133,6 +133,36 @@ def test_decontamination(spark):
     assert decontam.find(docs, bench.limit(0)).count() == 0 and decontam.find(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.13])
+def test_decontamination_finds_edited_copies(share):
+    rng = random.Random(11)
+    items = [(i, prose(rng, n)) for i, n in enumerate([8, 10, 12, 15, 20, 30, 50, 70] * 5)]
+    bench, brute, found = decontam.Benchmark(items), set(), set()
+    for k, (_, t) in enumerate(items):
+        for _ in range(4):
+            words = t.split()
+            for at in rng.sample(range(len(words)), max(1, round(share * len(words)))):
+                words[at] = rng.choice(VOCABULARY)
+            h, begins = tx.words([f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 30)}"])
+            n, grams = len(words), tx.grams(h, 2)
+            copy = (len(brute), k)
+            if max(bench.similarity(k, grams[s : s + n - 1]) for s in range(len(h) - n + 1)) >= decontam.SIMILARITY:
+                if any(i == k for _, i, *_ in bench.find(h, begins, decontam.SIMILARITY)):
+                    found.add(copy)
+                brute.add(copy)
+    assert len(brute) > 60 and len(found) >= 0.9 * len(brute)
+
+
+def test_decontamination_parts_count_rarity_of_all(spark):
+    rng = random.Random(12)
+    common = prose(rng, 12)
+    items = [(i, f"{common} {prose(rng, 12)}") for i in range(30)]
+    docs = frame(spark, [(i, f"{prose(rng, 20)} {edited(rng, t, 0.05)} {prose(rng, 20)}") for i, t in items])
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole, parts = ({(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find(docs, bench, items_at_once=n).collect()} for n in (100, 8))
+    assert whole and parts == pytest.approx(whole)
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 50).astype(np.uint64)
