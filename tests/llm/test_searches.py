@@ -70,6 +70,20 @@ def test_join_is_exact(spark, n, threshold):
     assert got == pytest.approx(brute_pairs(rows, n, threshold))
 
 
+def test_join_finds_scattered_edits(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):
+        words = [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(200)]
+        rows.append((i, " ".join(words)))
+        for at in range(3, 195, 8):  # 12 %: bigram Jaccard above 0.6, trigram below 0.5
+            words[at] = rng.choice(VOCABULARY) + "x"
+        rows.append((100 + i, " ".join(words)))
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_join.pairs(frame(spark, rows)).collect()}
+    assert {(i, 100 + i) for i in range(12)} <= set(got) and got == pytest.approx(brute_pairs(rows, 2, 0.6))
+    assert not {(i, 100 + i) for i in range(12)} & set(brute_pairs(rows, 3, 0.5))
+
+
 def test_signatures_share_enough():
     rng = np.random.default_rng(4)
     for classes in (np.zeros(1 << ngram_join.TABLE_BITS, np.uint8), np.full(1 << ngram_join.TABLE_BITS, 200, np.uint8), rng.integers(90, 170, 1 << ngram_join.TABLE_BITS).astype(np.uint8)):
