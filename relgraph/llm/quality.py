@@ -5,6 +5,11 @@ for each of a few pairs of features, that are learnt by boosting shallow trees i
 each round takes one feature after the other and adds a small step of a tree of at most
 ``LEAVES`` leaves fitted to the present gradient. A score is the sum of the tables' entries.
 
+A labelled document is good if its quality is 1 and it isn't toxic. Which words are toxic is learnt too: a hashed
+word weighs the logarithm of how much commoner it is in documents labelled toxic than in the others, and a text's
+greatest weight and mean weight are two more features. For the documents it is trained on, the weights
+come from the other half of them.
+
 It is trained on at most ``SAMPLE`` labelled documents, those with the smallest hash of
 the id (of rows that repeat an id one label counts; ids with conflicting labels are left
 out). Every document is then scored where it is read: no shuffle, one pass.
@@ -31,6 +36,7 @@ from relgraph.llm import textops as tx
 SAMPLE, REJECT_BELOW = 20_000, 0.5
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE = 32, 8, 150, 60, 8, 4, 0.15
 FEATURES = ["chars", "letters", "digits", "signs", "upper", "word_length", "distinct_words", "repeated_words", "commonest_word", "signs_after_words", "exclamations", "bars", "words_per_line", "repeated_lines"]
+WORD_BITS, WORD_DOCS = 18, 5  # places of the word weights, and toxic documents that a word must be in to have one
 _upper: list[np.ndarray] = []
 
 
@@ -82,6 +88,33 @@ def features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return np.unique((hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32))
+
+
+def word_weights(places: list, toxic: np.ndarray) -> np.ndarray:
+    """Weight of each hashed word, from the distinct ones of each document."""
+    counts = np.zeros((2, 1 << WORD_BITS))
+    for own, y in zip(places, toxic.tolist(), strict=True):
+        counts[int(y), own] += 1
+    many = max(1, int(toxic.sum()))
+    weights = np.log((counts[1] + 0.5) / many) - np.log((counts[0] + 0.5) / max(1, len(toxic) - many))
+    return np.where(counts[1] >= WORD_DOCS, np.maximum(0, weights), 0).astype(np.float32)
+
+
+def _toxicity(places: list, weights: np.ndarray) -> np.ndarray:
+    """Greatest and mean weight of each document's distinct words."""
+    return np.array([(weights[own].max(), weights[own].mean()) if len(own) else (0, 0) for own in places], float).reshape(-1, 2)
+
+
+def _text_places(texts: list[str | None]) -> list[np.ndarray]:
+    out = []
+    for part in tx.chunks(texts):
+        hashes, begins = tx.words(texts[part])
+        out += [_places(hashes[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    return out
+
+
 def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int) -> np.ndarray:
     """Values by bin of a tree grown best split first over ordered bins."""
     parts = [(0, len(gradient))]
@@ -158,6 +191,13 @@ class Additive:
     def _bins(x: np.ndarray, cuts: list[np.ndarray]) -> list[np.ndarray]:
         return [np.searchsorted(c, column, "left") for c, column in zip(cuts, x.T, strict=True)]
 
+    weights: np.ndarray | None = None
+
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of good quality for each text."""
+        x = features(texts)
+        return self.score(x if self.weights is None else np.column_stack([x, _toxicity(_text_places(texts), self.weights)]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of good quality for each row."""
         if self.constant is not None:
@@ -172,17 +212,30 @@ class Additive:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("known_id"), F.col("low").alias("good"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("doc_id", "text", "good")
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)).cast("int")
+    state = F.col("quality").cast("int") * 2 + toxic  # 2 is good
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min(state).alias("low"), F.max(state).alias("high")).where("low = high")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("known_id"), F.col("low").alias("state"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("doc_id", "text", "state")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "good", "x"])
-
-    found = sorted((r["doc_id"], r["good"], tuple(r["x"])) for r in rows.mapInArrow(tx.lean(run), T.StructType([docs.schema["doc_id"], labels.schema["quality"]]).add("x", T.ArrayType(T.DoubleType()))).withColumnRenamed("quality", "good").collect())
-    return Additive(np.array([r[2] for r in found]).reshape(-1, len(FEATURES)), np.array([r[1] for r in found]))
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(features(texts)), pa.list_(pa.float64())), pa.array([p.tobytes() for p in _text_places(texts)], pa.binary())], ["doc_id", "state", "x", "words"])
+
+    schema = T.StructType([docs.schema["doc_id"]]).add("state", T.IntegerType()).add("x", T.ArrayType(T.DoubleType())).add("words", T.BinaryType())
+    found = sorted((r["doc_id"], r["state"], tuple(r["x"]), bytes(r["words"])) for r in rows.mapInArrow(tx.lean(run), schema).collect())
+    x, states = np.array([r[2] for r in found]).reshape(-1, len(FEATURES)), np.array([r[1] for r in found], int)
+    places, is_toxic = [np.frombuffer(r[3], np.int32) for r in found], states % 2 == 1
+    if not is_toxic.any():
+        return Additive(x, states == 2)
+    own = np.zeros((len(found), 2))
+    for half in (0, 1):
+        other = np.arange(len(found)) % 2 != half
+        own[~other] = _toxicity(places[half::2], word_weights(places[1 - half :: 2], is_toxic[other]))
+    model = Additive(np.column_stack([x, own]), states == 2)
+    model.weights = word_weights(places, is_toxic)
+    return model
 
 
 def score(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -191,7 +244,7 @@ def score(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.score(features(batch.column(1).to_pylist()))
+            p = shared.value.of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= reject_below)], ["doc_id", "score", "accepted"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tx.lean(run), T.StructType([docs.schema["doc_id"]]).add("score", T.DoubleType()).add("accepted", T.BooleanType()))
@@ -203,6 +256,6 @@ def accept(docs: DataFrame, model: Additive, reject_below: float = REJECT_BELOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(features(batch.column(place).to_pylist())) >= reject_below))
+            yield batch.filter(pa.array(shared.value.of(batch.column(place).to_pylist()) >= reject_below))
 
     return docs.mapInArrow(tx.lean(run), docs.schema)

@@ -165,6 +165,23 @@ def test_quality_learns(spark):
     assert quality.accept(odd, none).count() == odd.count() and quality.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_rejects_toxic(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(60)]
+        if i % 5 == 0:
+            for at in rng.sample(range(60), 3):
+                words[at] = rng.choice(["vile", "foul", "nasty"])
+        rows.append((i, " ".join(words) + ".", int(i % 5 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows if i % 3], "doc_id bigint, quality int, toxic int")
+    accepted = {r["doc_id"]: r["accepted"] for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    held = [(accepted[i], y) for i, _, y in rows if i % 3 == 0]
+    assert np.mean([not a for a, y in held if y]) > 0.9 and np.mean([a for a, y in held if not y]) > 0.95
+
+
 def test_features_handle_edges():
     x = quality.features([None, "", "a", "!!! ###", "x" * 5000, "a\n" * 3])
     assert np.isfinite(x).all()
