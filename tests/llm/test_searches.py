@@ -86,17 +86,64 @@ def test_join_finds_scattered_edits(spark):
 
 def test_signatures_share_enough():
     rng = np.random.default_rng(4)
-    for classes in (np.zeros(1 << ngram_join.TABLE_BITS, np.uint8), np.full(1 << ngram_join.TABLE_BITS, 200, np.uint8), rng.integers(90, 170, 1 << ngram_join.TABLE_BITS).astype(np.uint8)):
-        for _ in range(400):
-            n, t = int(rng.integers(1, 90)), float(rng.choice([0.5, 0.6, 0.8]))
+    places = 1 << ngram_join.TABLE_BITS
+    for classes in (np.zeros(places, np.uint8), np.full(places, 200, np.uint8), rng.integers(0, 60, places).astype(np.uint8), rng.integers(20, 30, places).astype(np.uint8)):
+        for _ in range(600):
+            n, t = int(rng.integers(1, 160)), float(rng.choice([0.5, 0.6, 0.8]))
             common = np.unique(rng.integers(0, 1 << 56, n).astype(np.uint64))
             add = lambda: np.unique(np.concatenate([common, rng.integers(0, 1 << 56, int(rng.integers(0, n + 1))).astype(np.uint64)]))  # noqa: E731, B023
             a, b = add(), add()
             if len(common) / (len(a) + len(b) - len(common)) < t:
                 continue
-            (x, need_x), (y, need_y) = ngram_join.signatures(a, classes, t), ngram_join.signatures(b, classes, t)
-            both = np.intersect1d(x, y)
-            assert (both & np.uint64(1)).any() or len(both) >= min(need_x, need_y)
+            both = np.intersect1d(*(np.concatenate(ngram_join.signatures(x, classes, t)) for x in (a, b)))
+            assert (both & np.uint64(1)).any() or len(both) >= ngram_join.shared(min(len(a), len(b)))
+
+
+def test_common_tokens_and_forest():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, int(rng.integers(1, 6000))).astype(np.uint64)) for _ in range(30)]
+    assert (ngram_join.common(sets[:11], sets[11:]) == [[len(np.intersect1d(a, b)) for b in sets[11:]] for a in sets[:11]]).all()
+    for _ in range(60):
+        links = rng.random((int(rng.integers(1, 12)), int(rng.integers(1, 12)))) < 0.15
+        rows, columns = links.shape
+
+        def roots(edges, rows=rows, columns=columns):
+            root = list(range(rows + columns))
+            for i, j in edges:
+                x, y = root[i], root[rows + j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        forest = ngram_join._forest(links)
+        assert roots(forest) == roots(np.argwhere(links).tolist()) and all(links[i, j] for i, j in forest) and len(forest) < rows + columns
+
+
+def brute_classes(rows, n, threshold):
+    """doc_id, class_id, links of each distinct row, from all pairs."""
+    sets = {(i, gram_set(t or "", n)) for i, t in rows if i is not None}
+    near = {x: {y for y in sets if y != x and x[1] and y[1] and len(x[1] & y[1]) / len(x[1] | y[1]) >= threshold - 1e-12} for x in sets}
+    out = []
+    for x in sets:
+        seen, ahead = {x}, [x]
+        while ahead:
+            fresh = near[ahead.pop()] - seen
+            seen |= fresh
+            ahead += fresh
+        out.append((x[0], min(i for i, _ in seen), len(near[x])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = [*corpus(random.Random(6)), (7, "another text of seven"), (1, None), (600, "x " * 30_000 + "end")]
+    docs = frame(spark, rows).withColumn("class_id", F.lit("clash")).withColumn("node", F.lit("clash"))
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == brute_classes(rows, 2, 0.6) and max(r[2] for r in got) > 60
+    named = docs.withColumn("doc_id", F.format_string("d%03d", "doc_id")).where("doc_id <> 'dnull'")
+    again = sorted(map(tuple, ngram_join.near_duplicates(named).collect()))
+    assert again == [(f"d{a:03d}", f"d{b:03d}", c) for a, b, c in got]
+    assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_one_of_each(spark):
