@@ -4,8 +4,8 @@ Candidates are found by SimHash. For each item there is a window of words of abo
 size; the fingerprints of all of the item's windows are indexed, and those of every
 document at a stride such that a verbatim copy, wherever it begins, has a window that
 is one of the item's. The index is multi-index Hamming: a fingerprint is cut into
-``BLOCKS`` blocks, and every value within ``RADIUS // BLOCKS`` bits of an item's block leads to
-it, so every fingerprint within ``RADIUS`` is found. An edited copy can be further away than that, so
+four blocks (``BLOCKS``), and every value within a quarter of ``RADIUS`` bits of an item's block leads to
+it, so every fingerprint within ``RADIUS`` is found; it takes about 2 KB for each of an item's fingerprints. An edited copy can be further away than that, so
 each item is also indexed by its short runs of words, of the length (``run_of``) of which every copy at
 ``SIMILARITY`` must have one unbroken, wherever single words were replaced, and those are looked
 up at every word of a document. Candidates are then verified by the
@@ -13,35 +13,40 @@ weighted share of the item's word bigrams (rarer in the benchmark: heavier) that
 document has where the window was, with the item's length to each side as slack.
 
 Documents are read once; nothing is shuffled. The benchmark goes to all executors
-while it is below ``ITEMS_AT_ONCE`` items, which is checked by a count; a larger one is
-searched in parts of that size, with a pass over the documents for each. Rarity is counted over the whole
+while it is below ``ITEMS_AT_ONCE`` items and ``CHARS_AT_ONCE`` characters, which is checked by a count; a larger one is
+searched in parts of that size, with a pass over the documents for each. A worker builds a part's index once. Rarity is counted over the whole
 benchmark before it is split, so an item's similarity is the same however it is searched for.
 
 Defined results: a null or empty text holds nothing; an item with a null id or text, or of
 fewer than two words, is not searched for. An item found in several places of a document
 is reported once, at its most similar place (of equals that whose fingerprint is nearest, then the first). Repeated documents and
 items are each reported; an empty benchmark or corpus gives an empty result. Other
-columns are left out of ``find`` and kept by ``clean``.
+columns are left out of ``find`` and kept by ``clean``. Ids may be of any type; a very long text or item is
+searched whole.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from relgraph.llm import textops as tx
 from relgraph.llm.shared import cut
 
 SIMILARITY = 0.7
-RADIUS, BLOCKS, BITS = 11, (22, 21, 21), 64
-ITEMS_AT_ONCE = 20_000
-_KNOWN_BITS = 22  # of the table that tells which runs are no item's
+RADIUS, BLOCKS, BITS = 11, (16, 16, 16, 16), 64
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 5_000, 2_000_000
+_QUERIES = 1 << 14  # fingerprints looked up at once
+_built: WeakKeyDictionary[Broadcast, Benchmark] = WeakKeyDictionary()
 _PART = 1 << 13  # words fingerprinted at once, for the cache
 
 
@@ -71,15 +76,15 @@ def run_of(item_words: int, threshold: float = SIMILARITY) -> int:
 
 
 def _running(grams: np.ndarray) -> np.ndarray:
-    """Sums of each bit over the first 0, 1, 2, ... grams (at most ``2 * _PART``), by blocks of rows."""
-    rows = -(-len(grams) // 128)
-    bits = np.zeros((rows * 128, BITS), np.int16)
+    """Sums of each bit over the first 0, 1, 2, ... grams, by blocks of rows."""
+    rows, kind = -(-len(grams) // 128), np.int16 if len(grams) < 1 << 15 else np.int32
+    bits = np.zeros((rows * 128, BITS), kind)
     bits[: len(grams)] = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     x = bits.reshape(rows, 128, BITS)
     for i in range(1, 128):
         x[:, i] += x[:, i - 1]
-    x[1:] += np.cumsum(x[:-1, -1], axis=0, dtype=np.int16)[:, None]
-    sums = np.zeros((len(grams) + 1, BITS), np.int16)
+    x[1:] += np.cumsum(x[:-1, -1], axis=0, dtype=kind)[:, None]
+    sums = np.zeros((len(grams) + 1, BITS), kind)
     sums[1:] = bits[: len(grams)]
     return sums
 
@@ -117,27 +122,30 @@ class Blocks:
     def __init__(self, prints: np.ndarray):
         self.prints, self.blocks, shift = prints, [], 0
         for bits in BLOCKS:
+            near = _near(bits, RADIUS // len(BLOCKS))
             own = (prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-            values = (own[:, None] ^ _near(bits, RADIUS // len(BLOCKS))[None, :]).ravel()
-            owners = np.repeat(np.arange(len(prints)), len(values) // max(1, len(prints)))
-            order = np.argsort(values, kind="stable")
-            known = np.zeros(1 << bits, bool)
-            known[values] = True
-            self.blocks.append((np.uint64(shift), np.uint64((1 << bits) - 1), known, values[order], owners[order].astype(np.int32)))
+            values = (own[:, None] ^ near[None, :]).astype(np.uint16).ravel()
+            owners = (np.argsort(values, kind="stable") // len(near)).astype(np.int32)
+            first = np.zeros((1 << bits) + 1, np.int64)  # where a value's owners begin
+            np.cumsum(np.bincount(values, minlength=1 << bits), out=first[1:])
+            self.blocks.append((np.uint64(shift), np.uint64((1 << bits) - 1), first, owners))
             shift += bits
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, fingerprint) within the radius, each once."""
         found = [np.zeros(0, np.int64)]
-        for shift, mask, known, values, owners in self.blocks:
-            own = (queries >> shift) & mask
-            hit = np.flatnonzero(known[own])
-            low, high = np.searchsorted(values, own[hit], "left"), np.searchsorted(values, own[hit], "right")
-            many = high - low
-            query = np.repeat(hit, many)
-            target = owners[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)]
-            close = np.bitwise_count(queries[query] ^ self.prints[target]) <= RADIUS
-            found.append(query[close] * len(self.prints) + target[close])
+        for at in range(0, len(queries), _QUERIES):
+            part = queries[at : at + _QUERIES]
+            for shift, mask, first, owners in self.blocks:
+                own = ((part >> shift) & mask).astype(np.int64)
+                low = first[own]
+                many = first[own + 1] - low
+                hit = np.flatnonzero(many)
+                low, many = low[hit], many[hit]
+                query = np.repeat(hit, many)
+                target = owners[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)]
+                close = np.bitwise_count(part[query] ^ self.prints[target]) <= RADIUS
+                found.append((query[close] + at) * len(self.prints) + target[close])
         pairs = np.unique(np.concatenate(found))
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
@@ -176,7 +184,7 @@ class Benchmark:
             own = [tx.grams(self.words[i], size) for i in items]
             marks = np.concatenate(own)
             order = np.argsort(marks, kind="stable")
-            known = np.zeros(1 << _KNOWN_BITS, bool)
+            known = np.zeros(1 << min(22, max(16, (64 * len(marks)).bit_length())), bool)
             known[marks & np.uint64(len(known) - 1)] = True
             self.runs[size] = (known, marks[order], np.repeat(items, [len(m) for m in own])[order], np.concatenate([np.arange(len(m)) for m in own])[order])
 
@@ -251,11 +259,11 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _parts(benchmark: DataFrame, items_at_once: int) -> Iterator[tuple[list[Row], tuple[int, dict[int, int]] | None]]:
     """Rows of each part, and what ``Benchmark`` needs to know of the others."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    count = items.count()
-    if count <= items_at_once:
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    parts = max(-(-count // items_at_once), -(-chars // CHARS_AT_ONCE))
+    if parts <= 1:
         yield items.collect(), None
         return
-    parts = -(-count // items_at_once)
     placed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts)).cast("int"))
     grams = cut(placed.mapInArrow(tx.lean(_bigrams), "part int, gram bigint, items int"))
     total = grams.agg(F.sum("items")).first()[0] or 0
@@ -265,6 +273,13 @@ def _parts(benchmark: DataFrame, items_at_once: int) -> Iterator[tuple[list[Row]
         yield placed.where(F.col("part") == part).drop("part").collect(), (total, {r["gram"] & (1 << 64) - 1: r["seen"] for r in own})
 
 
+def _ready(shared: Broadcast, threshold: float) -> Benchmark:
+    """The index of a part, built once by a worker; it goes when the part's broadcast does."""
+    if shared not in _built:
+        _built[shared] = Benchmark(*shared.value, threshold)
+    return _built[shared]
+
+
 def _findings(bench: Benchmark, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     for part in tx.chunks(texts, 1 << 19):
         for d, *rest in bench.find(*tx.words(texts[part]), threshold):
@@ -274,18 +289,16 @@ def _findings(bench: Benchmark, texts: list[str | None], threshold: float) -> It
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, end_word)`` for each item that a document holds."""
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"]]).add("similarity", T.DoubleType()).add("first_word", T.IntegerType()).add("end_word", T.IntegerType())
-    source, out = docs.select("doc_id", F.col("text").cast("string")), None
+    source, out, item_type = docs.select("doc_id", F.col("text").cast("string")), None, to_arrow_type(benchmark.schema["item_id"].dataType)
     for rows, rarity in _parts(benchmark, items_at_once):
         shared = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], rarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = None
+            bench = _ready(shared, threshold)
             for batch in batches:
-                bench = bench or Benchmark(*shared.value, threshold)
                 ids = batch.column(0).to_pylist()
                 found = [(ids[d], bench.ids[i], value, a, b) for d, i, value, a, b in _findings(bench, batch.column(1).to_pylist(), threshold)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
-                item_type = pa.array([r[0] for r in shared.value[0]] or [0]).type
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int32()) for c in columns[3:])], schema.names)
 
         part = source.mapInArrow(tx.lean(run), schema)
@@ -295,17 +308,17 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, i
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """``docs`` without the rows that hold an item; columns are kept."""
-    place = docs.columns.index("text")
+    place, searched = docs.columns.index("text"), None
     for rows, rarity in _parts(benchmark, items_at_once):
+        docs = docs if searched is None else cut(searched)  # one index at a time in a worker
         shared = docs.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], rarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = None
+            bench = _ready(shared, threshold)
             for batch in batches:
-                bench = bench or Benchmark(*shared.value, threshold)
                 keep = np.ones(batch.num_rows, bool)
                 keep[[d for d, *_ in _findings(bench, batch.column(place).to_pylist(), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(tx.lean(run), docs.schema)
-    return docs
+        searched = docs.mapInArrow(tx.lean(run), docs.schema)
+    return docs if searched is None else searched

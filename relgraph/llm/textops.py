@@ -49,8 +49,22 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches, with ``release`` when its task ends."""
 
     def whole(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def lean_group(run: Callable) -> Callable:
+    """``run`` of two arguments over a group, with ``release`` when it has returned."""
+
+    def whole(one: object, two: object) -> pa.Table:
+        try:
+            return run(one, two)
+        finally:
+            release()
 
     return whole
 
