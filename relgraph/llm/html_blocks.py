@@ -5,15 +5,17 @@ vector of its tag path (signed hashes of tags, their classes and pairs of tags),
 hashes) and of a few plain figures. A bidirectional LSTM, in numpy, reads the blocks of the
 whole page in order and gives each a probability; the text of those at 0.5 or more is the page's.
 
-The network is trained here, on at most ``SAMPLE`` pages (those with the smallest hash of id and
-URL), under a teacher that reads only unmistakable markers: what is in ``article`` or ``main`` is
+The network is trained here, on at most ``SAMPLE`` pages (distinct ones, with the smallest hash of id,
+URL and page), under a teacher that reads only unmistakable markers: what is in ``article`` or ``main`` is
 content; what is in ``nav``, ``footer``, ``aside``, ``header`` outside of them, in the title or
 an element classed as an advertisement is not; other blocks teach nothing. In half of
 the pages these markers are hidden from the network, so it learns the context around them.
 Pages are labelled where they are read: one pass, no shuffle.
 
 Defined results: a null page gives null text and labels; one without text an empty text
-and no labels. Broken HTML is read as far as it goes; script, style and comments are never text.
+and no labels. Broken HTML is read as far as it goes; script, style and comments are never text. A quoted
+attribute may hold ``<``; but where ``TRIES`` tags of a page had quotes that never close, its later ones end before
+the next ``<``, so that a very long or hostile page takes linear time. Paths are read to any depth.
 Without a page to learn from, every block counts as content. Repeated rows get equal results,
 an empty table gives an empty one. Other columns are left out.
 """
@@ -37,7 +39,9 @@ from relgraph.llm import textops as tx
 SAMPLE, HIDDEN, EPOCHS, RATE, SEED = 300, 16, 6, 0.01, 7
 PATH_DIMS, WORD_DIMS, FIGURES = 32, 32, 7
 WIDTH = PATH_DIMS + WORD_DIMS + FIGURES
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+TRIES = 16
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>|<[!?/][^<>]*+>|[^<]+", re.S | re.I)
+_QUOTED = re.compile(r"<()(/?)([A-Za-z][A-Za-z0-9-]*+)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([^\"'>]+)", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +57,19 @@ class Block:
         self.path, self.parts, self.linked, self.text = path, [], 0, ""
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and texts in order; a ``<`` that begins none of them is left out."""
+    at, tries, end = 0, TRIES, len(page)
+    while at < end:
+        m = _TOKEN.match(page, at)
+        if m is None and tries and page[at + 1 : at + 2].isalpha():
+            m = _QUOTED.match(page, at)
+            tries -= m is None
+        if m is not None:
+            yield m
+        at = m.end() if m is not None else at + 1
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in order; a path has tags and, after a dot, their classes."""
     out: list[Block] = []
@@ -60,12 +77,12 @@ def blocks(page: str) -> list[Block]:
     names: list[str] = []
     links = 0
     block: Block | None = None
-    for m in _TOKEN.finditer(page):
+    for m in _tokens(page):
         close, name, rest = m.group(2), m.group(3), m.group(4)
         if name is None:
             if m.group(1) is None and not (text := m.group()).startswith("<") and (block or not text.isspace()):
                 if block is None:
-                    block = Block(tuple(stack[-8:]))
+                    block = Block(tuple(stack))
                     out.append(block)
                 block.parts.append(text)
                 if links:
@@ -263,9 +280,10 @@ class Labeller:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     rows = pages.where("html IS NOT NULL").select("page_id", "url", F.col("html").cast("string").alias("html"))
-    chosen = rows.select("page_id", "url", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "page_id", "url").limit(sample)
-    own = rows.join(F.broadcast(chosen.select(F.col("page_id").alias("i"), F.col("url").alias("u")).distinct()), F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")), "left_semi")
-    found = sorted((str(r["page_id"]), r["url"] or "", r["html"]) for r in own.dropDuplicates(["page_id", "url"]).collect())
+    marked = rows.withColumn("h", F.xxhash64("page_id", "url", "html"))
+    chosen = marked.select("h").distinct().orderBy("h").limit(sample).withColumnRenamed("h", "least")
+    own = marked.join(F.broadcast(chosen), F.col("h") == F.col("least"), "left_semi").groupBy("h").agg(F.min(F.struct("page_id", "url", "html")).alias("r")).select("r.*")
+    found = sorted((str(r["page_id"]), r["url"] or "", r["html"]) for r in own.collect())
     cut = [blocks(page) for _, _, page in found]
     paths = [[hidden(b.path) if k % 2 else b.path for b in page] for k, page in enumerate(cut)]
     model = Labeller()
