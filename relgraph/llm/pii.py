@@ -10,7 +10,8 @@ keeps the span of source characters that it came from:
    and the like become ``@`` and ``.``.
 
 Identifiers are found in the rewritten text and their spans mapped back to the source,
-which is all that redaction touches. Rewriting runs only around places that can matter:
+which is all that redaction touches. Numbers that only look like one are left: a card must pass the Luhn check (and not be
+of equal digits), an IBAN that of ISO 7064 and its country's length where known. Rewriting runs only around places that can matter:
 texts without digits, ``@``, number words or disguises pass after one search.
 
 Defined results: a null text gives null and no spans; an empty one itself. Spans never
@@ -147,6 +148,27 @@ def normalise(text: str) -> Aligned:
     return out
 
 
+_IBAN_LENGTHS = {c: int(n) for c, n in (x.split(":") for x in "AD:24 AE:23 AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SA:24 SE:24 SI:19 SK:24 TR:26".split())}
+
+
+def luhn(number: str) -> bool:
+    """Whether the last digit is the check digit of a card's number."""
+    digits = [int(c) for c in number if c.isdigit()]
+    return len(set(digits)) > 1 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban_length(text: str) -> int:
+    """How many characters from the start of ``text`` are a valid account number, by remainder 97; 0 if none are."""
+    ends = [k + 1 for k, c in enumerate(text) if c != " "]
+    known = _IBAN_LENGTHS.get(text[:2])
+    for size in [known] if known else range(len(ends), 14, -1):
+        if size and size <= len(ends):
+            plain = "".join(text[: ends[size - 1]].split())
+            if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                return ends[size - 1]
+    return 0
+
+
 def spans(text: str | None, kinds: tuple[str, ...] = KINDS, rewrite: bool = True) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of each identifier, in source characters, in order."""
     if not text or not kinds:
@@ -155,7 +177,12 @@ def spans(text: str | None, kinds: tuple[str, ...] = KINDS, rewrite: bool = True
     for kind in kinds:
         for m in _PATTERNS[kind].finditer(aligned.text):
             group = next((g for g in ("a", "b", "c") if kind == "secret" and m.group(g)), 0)
-            start, end = aligned.source(*m.span(group))
+            low, high = m.span(group)
+            if kind == "card" and not luhn(m.group()):
+                continue
+            if kind == "iban" and (high := low + iban_length(m.group())) == low:
+                continue
+            start, end = aligned.source(low, high)
             found.append((start, -end, KINDS.index(kind), kind))
     out, reached = [], 0
     for start, end, _, kind in sorted(found):
