@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach: ``spark.checkpoint.dir`` as the
-    cluster sets it. Only where it is unset (local tests) is one made."""
+    cluster sets it. Only where it is unset, in local mode, is one made; on a cluster that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         known = tempfile.mkdtemp(prefix="relgraph-")
         spark.sparkContext.setCheckpointDir(known)
     return known
