@@ -244,7 +244,7 @@ def test_warc(spark, tmp_path):
     assert len(rows) == 8
     text = next(r for r in rows if r["page_id"] == 1 and r["warc_type"] == "conversion")
     meta = next(r for r in rows if r["page_id"] == 1 and r["warc_type"] == "metadata")
-    assert text["payload"] == "T & t\nHome\nMore\nFirst bold text, here.\nSecond é text.\n&copy; us" and text["warc_refers_to"] == meta["warc_refers_to"]
+    assert text["payload"] == "T & t\nHome\nMore\nFirst bold text, here.\nSecond é text.\n© us" and text["warc_refers_to"] == meta["warc_refers_to"]
     envelope = json.loads(meta["payload"])
     assert envelope["record_id"] == meta["warc_refers_to"] and envelope["payload_digest"] == meta["source_payload_digest"] and "WARC-Type: response" in envelope["warc_headers"]
     response = warc.responses(pages).first()
@@ -264,7 +264,7 @@ def test_warc(spark, tmp_path):
 def test_url_rules(spark):
     urls = ["http://a.b.c.d.e.f.example.com/x/y/z/w/v.html?q=1#f", "http://user@Example.com:80//x/", "https://1.2.3.4/p", None, "no url", "http://example.com", "http://example.com"]
     pages = spark.createDataFrame([(i, u, "block") for i, u in enumerate(urls)], "page_id int, url string, action string")
-    made = pages.select("page_id", url_rules.expressions(F.col("url")).alias("e")).collect()
+    made = pages.select("page_id", url_rules.expressions(F.col("url"), 5, 4).alias("e")).collect()
     assert len(made[0]["e"]) == 30 and "example.com/x/y/" in made[0]["e"] and "c.d.e.f.example.com/" not in made[0]["e"] and "d.e.f.example.com/" not in made[0]["e"][:0]
     assert set(made[1]["e"]) == {"example.com/x/", "example.com/"} and set(made[2]["e"]) == {"1.2.3.4/p", "1.2.3.4/"}
     rules = spark.createDataFrame([(1, "example.com/", "block", 0), (2, "example.com/x/", "allow", 0), (2, "example.com/x/", "allow", 0), (3, "f.example.com/", "block", 5), (4, "1.2.3.4/", "block", None), (5, None, "block", 9), (6, "example.com/", "allow", 0)], url_rules.RULE_SCHEMA)
