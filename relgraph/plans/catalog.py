@@ -167,10 +167,10 @@ def describe_first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.first_sentence(F.col("text")).alias("description"))
 
 
-@query(f"WITH {_FILES} SELECT doc_id, list_sort({_query_terms_sql('regexp_extract(text, $$^[^\n]*$$)')}) AS terms FROM files")
+@query(f"WITH {_FILES} SELECT doc_id, list_sort({_query_terms_sql('text')}) AS terms FROM files")
 def stopword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telling terms of each document's first line."""
-    return b.files(spark, sf_dir).select("doc_id", F.array_sort(tx.query_terms(F.regexp_extract("text", "^[^\n]*", 0))).alias("terms"))
+    """Telling terms of each document."""
+    return b.files(spark, sf_dir).select("doc_id", F.array_sort(tx.query_terms(F.col("text"))).alias("terms"))
 
 
 @query(f"SELECT doc_id, len({_terms_sql('text')})::INT AS terms, len(list_distinct({_terms_sql('text')}))::INT AS distinct_terms FROM documents")

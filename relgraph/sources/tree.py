@@ -2,7 +2,7 @@
 
 Spark's own file sources hide names that begin with ``_`` or ``.``; this one keeps hidden
 files of known languages and prunes only hidden, vendored and build directories.
-Options: ``path``; ``content`` (default true; false reads sizes and times only, for a stat sweep);
+Options: ``path``; ``content`` (default true; false reads sizes and times, and a first KB where binary files are told by it);
 ``docs`` (default false; documents are left out).
 """
 
@@ -55,10 +55,10 @@ class TreeReader(DataSourceReader):
         try:
             stat = os.stat(path)
             size, mtime = stat.st_size, stat.st_mtime
-            if self.content:
+            if self.content or language in SNIFFED:
                 with open(path, "rb") as f:
-                    body = f.read()
-                digest = hashlib.sha256(body).hexdigest()
+                    body = f.read() if self.content else f.read(SNIFF_BYTES)
+                digest = hashlib.sha256(body).hexdigest() if self.content else ""
         except OSError:
             digest, size, mtime, body = "", 0, 0.0, b""
         if language in SNIFFED and b"\0" in body[:SNIFF_BYTES]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back: later steps neither
-    recompute it nor depend on the executors that made it. Where the setting is absent (local
-    tests) a folder is made."""
+    recompute it nor depend on the executors that made it. Where the setting is absent a
+    folder is made in local mode; on a cluster, whose executors have disks of their own, that is an error."""
     spark = df.sparkSession
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         known = tempfile.mkdtemp(prefix="relgraph-")
         spark.sparkContext.setCheckpointDir(known)
     path = f"{known}/cut-{uuid.uuid4().hex}"
