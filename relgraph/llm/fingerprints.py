@@ -5,8 +5,12 @@ is kept depends on the hash alone, so the sketch of a union is the union of the
 sketches, and containment can be estimated between a page and a book.
 Everything is built-in expressions: no Python worker, no shuffle.
 
+A quarter of the hashes is kept (``SCALE``), so that short documents have some too: none of 16 shingles (20 words) is kept with
+a chance of 1 in 100, of 50 in a million. The standard error of a containment ``c`` of ``n`` shingles is about
+``sqrt(c (1 - c) scale / n)``: at most 0.25 at 16 shingles, 0.07 at 200, 0.01 at 10,000.
+
 Defined results: a null text gives a null sketch and count; a text without words
-an empty sketch and 0; a text of fewer than ``k`` words one shingle of all its words.
+an empty sketch and 0; a very long text is one sketch like any other; a text of fewer than ``k`` words one shingle of all its words.
 Repeated rows give repeated sketches. An empty table gives an empty table. Other
 columns of the input, whatever their names, are left out of the result.
 """
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE_WORDS, SCALE = 5, 32
+SHINGLE_WORDS, SCALE = 5, 4
 HASH_BITS = 60
 
 
@@ -41,7 +45,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 def merge(sketch_rows: DataFrame, *keys: str) -> DataFrame:
     """Sketch of the union of each group's documents (null sketches add nothing)."""
-    return sketch_rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))).alias("sketch"))
+    hashes = sketch_rows.select(*keys, F.explode_outer("sketch").alias("hash")).distinct()  # so that no group's sketches meet in one task
+    return hashes.groupBy(*keys).agg(F.array_sort(F.collect_list("hash")).alias("sketch"))
 
 
 def containment(part: Column, whole: Column) -> Column:

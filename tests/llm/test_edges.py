@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontam, html_blocks, pii, url_rules, warc
+from relgraph.llm import decontam, fingerprints, html_blocks, pii, url_rules, warc
 from relgraph.llm import textops as tx
 
 
@@ -127,3 +127,14 @@ def test_memory_is_given_back_when_a_task_stops_early(monkeypatch):
     assert next(rows) == 1
     rows.close()
     assert called == [1]
+
+
+@pytest.mark.parametrize("words", [20, 60, 250])
+def test_short_documents_are_found_in_long_ones(spark, words):
+    rng = random.Random(words)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
+    rows = [(i, " ".join(long[40 * i : 40 * i + words])) for i in range(90)] + [(99, " ".join(long))]
+    found = fingerprints.sketches(spark.createDataFrame(rows, "doc_id int, text string"))
+    whole = found.where("doc_id = 99").select(F.col("sketch").alias("whole"))
+    shares = [r["c"] for r in found.where("doc_id < 90").crossJoin(whole).select(fingerprints.containment(F.col("sketch"), F.col("whole")).alias("c")).collect()]
+    assert set(shares) <= {1.0, None} and shares.count(None) <= (5 if words == 20 else 0)
