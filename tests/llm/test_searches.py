@@ -2,15 +2,17 @@
 
 import gzip
 import json
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relgraph.llm import decontam, html_blocks, ngram_join, packing, pii, quality, url_rules, warc
+from relgraph.llm import decontam, html_blocks, ngram_join, packing, pii, quality, shared, url_rules, warc
 from relgraph.llm import textops as tx
 from relgraph.llm.queries import ORACLES, QUERIES
 
@@ -146,6 +148,44 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_sketches_are_never_further_apart_than_sets():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((5, 300, 3), (300, 280, 250), (40, 41, 40), (9000, 7000, 6000), (1, 1, 0)):
+        every = rng.integers(0, 1 << 56, n + m - both, dtype=np.uint64)
+        one, two = every[:n], every[n - both :]
+        bits = ngram_join.apart([ngram_join.sketch(one)], [ngram_join.sketch(two)])[0]
+        assert bits <= n + m - 2 * both
+    one, two = (rng.integers(0, 1 << 56, 300, dtype=np.uint64) for _ in "ab")
+    assert ngram_join.apart([ngram_join.sketch(one)], [ngram_join.sketch(two)])[0] > ngram_join._bearable(600, 0.6)
+
+
+def test_rounds_strips_and_spent_tables(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(60)] for _ in range(40)]
+    texts = [" ".join(w if rng.random() > 0.04 else "x" for w in rng.choice(base)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    want = {tuple(r) for r in ngram_join.near_duplicates(docs).collect()}
+    for name, value in (("_BUCKET", 1000), ("_PER_TOKEN", 1), ("BLOCK", 8), ("CROWD", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    before = set(os.listdir(folder))
+    met, rounds = ngram_join._met, []
+    monkeypatch.setattr(ngram_join, "_met", lambda *a: rounds.append(1) or met(*a))
+    assert {tuple(r) for r in ngram_join.near_duplicates(docs).collect()} == want and len(rounds) > 1
+    kept = [spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before]
+    assert not any({"marks", "grams", "sketch", "places"} & set(c) - ({"marks"} if "node" in c or "label" in c else set()) for c in kept)
+
+
+def test_cut_frees_its_shuffle(spark):
+    files = lambda: {x for x in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in x}
+    before = files()
+    assert shared.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    deadline = time.time() + 10
+    while (left := {x for x in files() - before if x.endswith(".data")}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert len(left) <= 4  # those of the count that followed
+
+
 def test_one_of_each(spark):
     rows = corpus(random.Random(3))
     docs = frame(spark, rows)
