@@ -47,6 +47,7 @@ RADIUS, BLOCKS, BITS = 11, (16, 16, 16, 16), 64
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 5_000, 2_000_000
 _QUERIES = 1 << 14  # fingerprints looked up at once
 _built: WeakKeyDictionary[Broadcast, Benchmark] = WeakKeyDictionary()
+_ROWS = 256  # texts of a batch that are strings at once
 _PART = 1 << 13  # words fingerprinted at once, for the cache
 
 
@@ -280,10 +281,13 @@ def _ready(shared: Broadcast, threshold: float) -> Benchmark:
     return _built[shared]
 
 
-def _findings(bench: Benchmark, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
-    for part in tx.chunks(texts, 1 << 19):
-        for d, *rest in bench.find(*tx.words(texts[part]), threshold):
-            yield part.start + d, *rest
+def _findings(bench: Benchmark, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """``find`` over a batch's texts, of which few are strings at a time."""
+    for at in range(0, len(column), _ROWS):
+        texts = column.slice(at, _ROWS).to_pylist()
+        for part in tx.chunks(texts, 1 << 17):
+            for d, *rest in bench.find(*tx.words(texts[part]), threshold):
+                yield at + part.start + d, *rest
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
@@ -297,7 +301,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, i
             bench = _ready(shared, threshold)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[d], bench.ids[i], value, a, b) for d, i, value, a, b in _findings(bench, batch.column(1).to_pylist(), threshold)]
+                found = [(ids[d], bench.ids[i], value, a, b) for d, i, value, a, b in _findings(bench, batch.column(1), threshold)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], item_type), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int32()) for c in columns[3:])], schema.names)
 
@@ -317,7 +321,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
             bench = _ready(shared, threshold)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[d for d, *_ in _findings(bench, batch.column(place).to_pylist(), threshold)]] = False
+                keep[[d for d, *_ in _findings(bench, batch.column(place), threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
         searched = docs.mapInArrow(tx.lean(run), docs.schema)
