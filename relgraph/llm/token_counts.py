@@ -6,7 +6,7 @@ before it, and the prefix has one token more than that. One pass over a text
 thus gives the count of each of its prefixes, and questions of truncation and
 budget become array look-ups (``tokens_at``, ``chars_within``), without encoding again.
 
-Texts are cut into pretokens with numpy, many documents at once; the programme
+Texts are cut into pretokens with numpy, many documents at once (where only whole texts count, by a pattern); the programme
 runs once for each distinct pretoken of a worker, and counts are gathered from
 its table. Prefixes are measured in characters (code points). A prefix's count is
 that of encoding the prefix by itself, so it can fall when a character is added.
@@ -19,8 +19,10 @@ give repeated results, an empty table an empty one. Other columns are left out.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ from relgraph.llm import textops as tx
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUDGET = 2048
-_CACHE_WORDS, _CACHE_COUNTS = 200_000, 4_000_000
-_SHORT = 32
+_CACHE_WORDS, _CACHE_COUNTS, _CACHE_WHOLE = 200_000, 4_000_000, 150_000
+_SHORT, _LONG = 32, 1 << 20
 
 
 class Encoder:
@@ -44,6 +46,11 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.longest = max(map(len, self.ranks))
         self._halves()
+        self.pairs: dict[int, bool] = {}  # whether a token may follow another
+        self.reach: dict[bytes, int] = {}  # the longest token that begins with two bytes
+        for token in self.ranks:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 1))
+        self.whole = Whole(self.count)
         self.lefts, self.rights = np.array(self.left), np.array(self.right)
         self.joined = tx.StaticMap(np.fromiter(self.joins, np.int64, len(self.joins)), np.fromiter(self.joins.values(), np.int64, len(self.joins)))
         short = [t for t in self.ranks if len(t) <= _SHORT]
@@ -237,25 +244,85 @@ class Encoder:
     def totals(self, texts: list[str | None]) -> list[int | None]:
         """Tokens of each whole text; null for null. Counts of pretokens are added up, without those of prefixes."""
         out: list[int | None] = []
-        for part in tx.chunks(texts):
-            if len(self.where) > _CACHE_WORDS or self.used > _CACHE_COUNTS:
-                self.forget()
-            own = [t or "" for t in texts[part]]
-            joined = "\n".join(own)
-            points = tx.code_points(joined)
-            begins = np.cumsum([0, *(len(t) + 1 for t in own)])
-            counts = np.zeros(len(own), np.int64)
-            if len(points):
-                starts, _ = pretokens(points, begins)
-                ends = np.append(starts[1:], len(points))
-                at = self._places(joined, points, starts, ends)
-                total = self.table[at + ends - starts - 1].astype(np.int64)
-                total[np.searchsorted(starts, begins[1:-1] - 1)] = 0
-                sums = np.append(0, np.cumsum(total))[np.searchsorted(starts, begins)]
-                counts = np.diff(sums)
-            out += [None if t is None else int(n) for t, n in zip(texts[part], counts.tolist(), strict=True)]
+        for text in texts:
+            self.whole.age()
+            known = self.whole.__getitem__
+            out.append(None if text is None else sum(sum(map(known, words)) for words in split(text)))
         return out
 
+    def count(self, piece: bytes) -> int:
+        """Tokens of one pretoken: the longest that is compatible with the one before, taken back where nothing can follow."""
+        ranks, pairs, reach = self.ranks, self.pairs, self.reach
+        if piece in ranks:
+            return 1
+        n, at, before = len(piece), 0, []
+        dead, size = set(), min(n - 1, reach.get(piece[:2], 1))
+        while at < n:
+            while size:
+                token = ranks.get(piece[at : at + size])
+                if token is not None and at + size not in dead:
+                    if not before:
+                        break
+                    key = before[-1][0] << 20 | token
+                    if (fits := pairs.get(key)) is None:
+                        fits = pairs[key] = self._compatible(before[-1][0], token)
+                    if fits:
+                        break
+                size -= 1
+            if size:
+                before.append((token, size))
+                at += size
+                size = min(n - at, reach.get(piece[at : at + 2], 1))
+            else:
+                dead.add(at)
+                size = before.pop()[1]
+                at -= size
+        if len(pairs) > _CACHE_WORDS:
+            pairs.clear()
+        return len(before)
+
+
+class Whole(dict):
+    """Counts of whole pretokens, each found when it is first asked for; those not met for long are forgotten."""
+
+    def __init__(self, count: Callable[[bytes], int]):
+        self.count, self.old = count, {}
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = self.old.get(word) or self.count(word.encode("utf-8", "replace"))
+        return n
+
+    def age(self) -> None:
+        if len(self) > _CACHE_WHOLE:
+            self.old = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Pretokens of any text, and of one in ASCII: as ``pretokens`` cuts them."""
+    kind, ranges = tx.classes(), {}
+    for k in (tx.LETTER, tx.NUMBER, tx.SPACE):
+        edge = np.diff(np.concatenate([[0], (kind == k).astype(np.int8), [0]]))
+        ranges[k] = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+    whole = lambda letter, number, space: f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    return re.compile(whole(ranges[tx.LETTER], ranges[tx.NUMBER], ranges[tx.SPACE])), re.compile(whole("A-Za-z", "0-9", " \\t\\n\\r\\f\\v"), re.A)
+
+
+def split(text: str) -> Iterator[list[str]]:
+    """Pretokens of a text, in lists; those of a very long one in several."""
+    pattern = _patterns()[text.isascii()]
+    if len(text) <= _LONG:
+        yield pattern.findall(text)
+        return
+    found = pattern.finditer(text)
+    while words := [m[0] for m in islice(found, _LONG // 8)]:
+        yield words
+
 
 def pretokens(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pretokens start, and those that are a two-letter contraction (``'ll 've 're``).
@@ -337,6 +404,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", ranks_file: str = RAN
             arrays = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(enc.totals(batch.column(len(kept)).to_pylist()), pa.int32())], [*kept, "n_tokens"])
         enc.forget()
+        enc.whole.forget()
 
     return source.mapInArrow(tx.lean(run), schema)
 

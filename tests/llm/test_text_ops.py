@@ -191,3 +191,12 @@ def test_words_and_grams():
     hashes, begins = tx.words(["One two", None, "", "two ONE!"])
     assert begins.tolist() == [0, 2, 2, 2, 4] and hashes[0] == hashes[3] and hashes[1] == hashes[2]
     assert len(tx.grams(hashes[:2], 5)) == 1 and len(tx.grams(hashes[:0], 2)) == 0
+
+
+def test_totals_are_those_of_the_prefix_programme():
+    enc, rng = token_counts.encoder(token_counts.RANKS_FILE), random.Random(4)
+    letters = "ab'' ''sdmtlrve\n\t    é字5٣½!?.,-_́ः😀\x1c\x85\r\u200bßǅ𝒜𝟘Ⅷ²the"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["a" * 3000]
+    counts, begins = enc.prefix_counts(texts)
+    assert enc.totals([*texts, None, ""]) == [*counts[begins[1:] - 2].tolist(), None, 0]
+    assert all(enc.count(w.encode()) == enc.byte_counts(w.encode())[-1] for text in texts[:300] for words in token_counts.split(text) for w in words)
