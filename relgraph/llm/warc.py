@@ -47,20 +47,20 @@ def _uuid(*parts: Column) -> Column:
 def _digest(text: Column) -> Column:
     """``sha1:`` and the digest in base 32, as WARC writes it."""
     h = F.sha1(text.cast("binary"))
-    fifths = [F.lpad(F.conv(F.substring(h, i, 5), 16, 32), 4, "0") for i in range(1, 41, 5)]
-    return F.concat(F.lit("sha1:"), F.translate(F.concat(*fifths), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"))
+    parts = [F.lpad(F.conv(F.substring(h, i, n), 16, 32), n * 4 // 5, "0") for i, n in ((1, 15), (16, 15), (31, 10))]
+    return F.concat(F.lit("sha1:"), F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"))
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: hidden elements and tags go, block elements end lines, character references (named, decimal, hexadecimal; with their semicolon) are decoded, once."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _BLOCK, "\n"), _TAG, "")
     names = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
-    name = lambda x: F.regexp_extract(x, _REFERENCE, 1)
     code = lambda n: F.when(n.rlike("^#[0-9]"), F.substring(n, 2, 7).cast("int")).when(n.rlike("^#[xX]"), F.conv(F.substring(n, 3, 6), 16, 10).cast("int"))
     valid = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
     sign = lambda n: F.when(F.substring(n, 1, 1) == "#", F.when(valid(code(n)), F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32"))).when(n != "", names[n])
-    piece = lambda x: F.coalesce(F.concat(sign(name(x)), F.regexp_replace(x, "^[^;]*;", "")), F.concat(F.lit("&"), x))
-    decoded = F.array_join(F.transform(F.split(t, "&"), lambda x, i: F.when(i == 0, x).otherwise(piece(x))), "")
+    pieces = F.transform(F.split(t, "&"), lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _REFERENCE, 1).alias("n")))  # a reference is looked for once
+    piece = lambda x, n: F.coalesce(F.concat(sign(n), x.substr(F.length(n) + 2, F.length(x))), F.concat(F.lit("&"), x))
+    decoded = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p["x"]).otherwise(piece(p["x"], p["n"]))), "")
     t = F.when(t.contains("&"), decoded).otherwise(t)
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t\f\r ]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 

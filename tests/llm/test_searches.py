@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,22 @@ def test_decontamination_parts_count_rarity_of_all(spark):
     assert whole and parts == pytest.approx(whole)
 
 
+def test_decontamination_holds_few_texts_at_once():
+    seen = []
+
+    class Bench:
+        def find(self, hashes, begins, threshold):
+            seen.append(len(hashes))
+            return [(len(begins) - 2, 0, 1.0, 0, 1)]
+
+    found = list(decontam._findings(Bench(), pa.array(["word " * 200] * 3000), 0.7))
+    assert max(seen) <= 40_000 and sum(seen) == 600_000 and found[-1][0] == 2999
+
+
+def test_references_are_looked_for_once(spark):
+    assert warc.plain_text(F.col("x"))._jc.toString().count("regexp_extract") == 1
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 50).astype(np.uint64)
