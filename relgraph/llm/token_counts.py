@@ -6,9 +6,9 @@ before it, and the prefix has one token more than that. One pass over a text
 thus gives the count of each of its prefixes, and questions of truncation and
 budget become array look-ups (``tokens_at``, ``chars_within``), without encoding again.
 
-Texts are cut into pretokens with numpy, many documents at once (where only whole texts count, by a pattern); the programme
+Texts are cut into pretokens with numpy, many documents at once; the programme
 runs once for each distinct pretoken of a worker, and counts are gathered from
-its table. Prefixes are measured in characters (code points). A prefix's count is
+its table. Where only whole texts count, they are cut at blanks, and pretokens not met before are merged, many at once. Prefixes are measured in characters (code points). A prefix's count is
 that of encoding the prefix by itself, so it can fall when a character is added.
 
 Defined results: a null text gives null counts; an empty text one prefix (of
@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from relgraph.llm import textops as tx
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUDGET = 2048
-_CACHE_WORDS, _CACHE_COUNTS, _CACHE_WHOLE = 200_000, 4_000_000, 150_000
-_SHORT, _LONG = 32, 1 << 20
+_CACHE_WORDS, _CACHE_COUNTS, _CACHE_WHOLE, _CACHE_CHARS = 200_000, 4_000_000, 300_000, 4_000_000
+_SHORT, _FEW, _LONG, _MANY = 32, 1 << 16, 1 << 20, 1 << 21
+_WIDTHS = 8, 12, 16, _SHORT  # bytes of pretokens that are merged together
+_NOTHING, _NEVER, _WRONG = (1 << 20) - 1, 1 << 24, 1 << 32  # no token, no merge, no count
 
 
 class Encoder:
@@ -50,9 +53,12 @@ class Encoder:
         self.reach: dict[bytes, int] = {}  # the longest token that begins with two bytes
         for token in self.ranks:
             self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 1))
-        self.whole = Whole(self.count)
+        self.whole = Whole(self.counts)
         self.lefts, self.rights = np.array(self.left), np.array(self.right)
         self.joined = tx.StaticMap(np.fromiter(self.joins, np.int64, len(self.joins)), np.fromiter(self.joins.values(), np.int64, len(self.joins)))
+        bytes_ = [bytes([i]) for i in range(256)]
+        self.of_byte = np.array([self.ranks[b] for b in bytes_], np.int32)
+        self.of_two = self.joined.get((self.of_byte[:, None].astype(np.int64) << 20 | self.of_byte).ravel(), _NEVER).astype(np.int32)
         short = [t for t in self.ranks if len(t) <= _SHORT]
         sizes = np.fromiter(map(len, short), np.int64, len(short))
         stops = np.cumsum(sizes)
@@ -242,12 +248,60 @@ class Encoder:
         return counts.astype(np.int32), begins
 
     def totals(self, texts: list[str | None]) -> list[int | None]:
-        """Tokens of each whole text; null for null. Counts of pretokens are added up, without those of prefixes."""
+        """Tokens of each whole text; null for null. Counts of what stands between blanks are added up, without those of prefixes."""
         out: list[int | None] = []
-        for text in texts:
-            self.whole.age()
-            known = self.whole.__getitem__
-            out.append(None if text is None else sum(sum(map(known, words)) for words in split(text)))
+        for part in tx.chunks(texts, _MANY):
+            own = texts[part]
+            if len(own[0] or "") > _MANY:
+                out.append(sum(map(self.whole.total, stretches(own[0]))))
+            else:
+                out += [None if t is None else n for t, n in zip(own, self.whole.totals([t or "" for t in own]).tolist(), strict=True)]
+        return out
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """``count`` of many pretokens."""
+        pieces = [w.encode("utf-8", "replace") for w in words]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        more = ~np.fromiter(map(self.ranks.__contains__, pieces), bool, len(pieces))
+        out = np.ones(len(pieces), np.int64)
+        for i in np.flatnonzero(more & (sizes > _SHORT)).tolist():
+            out[i] = self.count(pieces[i])
+        joined = np.frombuffer(b"".join([*pieces, bytes(_SHORT)]), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        for low, high in zip((0, *_WIDTHS), _WIDTHS, strict=False):
+            some = np.flatnonzero(more & (sizes > low) & (sizes <= high))
+            if len(some):
+                out[some] = self._merge(joined[begins[some] + np.arange(high)[:, None]], sizes[some])
+        return out
+
+    def _merge(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of short pieces, a column of bytes for each, all merged at once: in each round every piece
+        makes its first merge, the leftmost of those. ``keys`` has merge and place of each pair of tokens."""
+        place = np.arange(len(letters), dtype=np.int32)[:, None]
+        tokens = np.where(place < sizes, self.of_byte[letters], _NOTHING)
+        keys = np.where(place[1:] < sizes, self.of_two[letters[:-1].astype(np.int32) << 8 | letters[1:]], _NEVER) << 5 | place[:-1]
+        out, at, left = sizes.copy(), np.arange(len(sizes)), sizes.copy()
+        while len(keys):
+            best = keys.min(axis=0)
+            going = best < _NEVER << 4
+            if not going.all():
+                out[at[~going]] = left[~going]
+                at, left, best, tokens, keys = at[going], left[going], best[going], tokens[:, going], keys[:, going]
+            if not len(at):
+                return out
+            spot, columns = best & 31, np.arange(len(at))
+            for j in range(1, len(keys)):
+                later = spot < j
+                np.copyto(tokens[j], tokens[j + 1], where=later)
+                if j + 1 < len(keys):
+                    np.copyto(keys[j], keys[j + 1] - 1, where=later)
+            tokens, keys, left = tokens[:-1], keys[:-1], left - 1
+            tokens[spot, columns] = best >> 5
+            for first, some in ((spot, spot < len(keys)), (spot - 1, spot > 0)):
+                first, column = first[some], columns[some]
+                pair = tokens[first, column].astype(np.int64) << 20 | tokens[first + 1, column]
+                keys[first, column] = self.joined.get(pair, _NEVER).astype(np.int32) << 5 | first
+        out[at] = left
         return out
 
     def count(self, piece: bytes) -> int:
@@ -282,24 +336,113 @@ class Encoder:
         return len(before)
 
 
-class Whole(dict):
-    """Counts of whole pretokens, each found when it is first asked for; those not met for long are forgotten."""
-
-    def __init__(self, count: Callable[[bytes], int]):
-        self.count, self.old = count, {}
+class Whole(defaultdict):
+    """Counts of what stands between blanks, with the blank before it; when there are many, those met only once go.
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = self.old.get(word) or self.count(word.encode("utf-8", "replace"))
-        return n
+    The last blank before anything but white space begins a pretoken in any text, so the parts of a text that is cut
+    there have the pretokens of the whole. Each part has a number here, by which its count and its uses are found."""
 
-    def age(self) -> None:
-        if len(self) > _CACHE_WHOLE:
-            self.old = dict(self)
-            self.clear()
+    def __init__(self, count_all: Callable[[list[str]], np.ndarray]):
+        super().__init__()
+        self.count_all = count_all
+        self.forget()
 
     def forget(self) -> None:
-        self.old = {}
+        self._keep([], np.zeros(0, np.int64))
+
+    def _keep(self, parts: list[str], counts: np.ndarray) -> None:
+        """Only these; the next new part gets the number after theirs."""
         self.clear()
+        self.update(zip(parts, range(len(parts)), strict=True))
+        self.default_factory = count(len(parts)).__next__
+        self.counts, self.uses, self.held = counts, np.zeros(len(parts), np.int64), sum(map(len, parts))
+
+    def totals(self, texts: list[str]) -> np.ndarray:
+        out = self._cut_totals(texts, lambda text: _blank().split(text) if "  " in text else text.split(" "))
+        again = np.flatnonzero(out >= _WRONG)
+        if len(again):
+            out[again] = self._cut_totals([texts[i] for i in again.tolist()], _blank().split)
+        return out
+
+    def total(self, text: str) -> int:
+        return int((self.totals([text]) if len(text) <= 2 * _MANY else self._plain([text]))[0])
+
+    def _cut_totals(self, texts: list[str], cut: Callable[[str], list[str]]) -> np.ndarray:
+        """Tokens of texts by their parts, of which the first has no blank before it; few texts are in parts at once."""
+        if len(self) > _CACHE_WHOLE or self.held > _CACHE_CHARS:
+            self._prune()
+        heads, sizes, numbers = [], [], []
+        for some in tx.chunks(texts, _FEW):
+            cuts = [cut(text) for text in texts[some]]
+            heads += [parts.pop(0) for parts in cuts]
+            own = [len(parts) for parts in cuts]
+            sizes += own
+            numbers.append(np.fromiter(map(self.__getitem__, chain.from_iterable(cuts)), np.int64, sum(own)))
+        if n := len(self) - len(self.counts):
+            new = list(islice(reversed(self), n))[::-1]
+            self.counts = np.concatenate([self.counts, self._after_blank(new)])
+            self.uses = np.concatenate([self.uses, np.zeros(n, np.int64)])
+            self.held += sum(map(len, new))
+        every = np.concatenate([np.zeros(0, np.int64), *numbers])
+        self.uses += np.bincount(every, minlength=len(self.uses))
+        return self._plain(heads) + _sums(self.counts[every], np.array(sizes, np.int64))
+
+    def _prune(self) -> None:
+        some = self.uses > 1
+        parts = list(compress(self, some))
+        if len(parts) <= _CACHE_WHOLE // 2 and sum(map(len, parts)) <= _CACHE_CHARS // 2:
+            self._keep(parts, self.counts[some])
+        else:
+            self.forget()
+
+    def _after_blank(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each part and the blank before it; ``_WRONG`` where white space follows that, or nothing."""
+        out, white = np.full(len(parts), _WRONG), _white()
+        letters = np.fromiter(map(str.isalpha, parts), bool, len(parts))  # one pretoken
+        other = [i for i in np.flatnonzero(~letters).tolist() if parts[i][:1] not in white]
+        words = [" " + part for part in compress(parts, letters)]
+        ones, own = np.ones(len(words), np.int64), [" " + parts[i] for i in other]
+        more = list(chain.from_iterable(split("".join(own))))
+        ends = np.searchsorted(np.cumsum(np.fromiter(map(len, more), np.int64, len(more))), np.cumsum(np.fromiter(map(len, own), np.int64, len(own))))
+        sums = self._added(words + more, np.concatenate([ones, np.diff(ends + 1, prepend=0)]))
+        out[letters], out[other] = sums[: len(words)], sums[len(words) :]
+        return out
+
+    def _plain(self, texts: list[str]) -> np.ndarray:
+        """Tokens of texts that aren't cut at blanks."""
+        out, sizes, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            found = split(text)
+            first = next(found, [])
+            words += first
+            sizes[i] = len(first)
+            for more in found:
+                out[i] += self.count_all(more).sum()
+        return out + self._added(words, sizes)
+
+    def _added(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Tokens of runs of ``sizes`` pretokens."""
+        every = list(dict.fromkeys(words))
+        counts = dict(zip(every, self.count_all(every).tolist(), strict=True))
+        return _sums(np.fromiter(map(counts.__getitem__, words), np.int64, len(words)), sizes)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each run of ``sizes`` values."""
+    sums, ends = np.concatenate([[0], np.cumsum(values)]), np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+@lru_cache(maxsize=1)
+def _white() -> frozenset[str]:
+    """White space, and nothing at all."""
+    return frozenset(["", *map(chr, np.flatnonzero(tx.classes() == tx.SPACE))])
+
+
+@lru_cache(maxsize=1)
+def _blank() -> re.Pattern:
+    """A blank before anything but white space."""
+    return re.compile(f" (?=[^{''.join(_white())}])")
 
 
 @lru_cache(maxsize=1)
@@ -324,6 +467,16 @@ def split(text: str) -> Iterator[list[str]]:
         yield words
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A very long text in pieces that begin with a blank before something, and so with a pretoken."""
+    begin = 0
+    while begin < len(text):
+        found = _blank().search(text, begin + _MANY)
+        end = found.start() if found else len(text)
+        yield text[begin:end]
+        begin = end
+
+
 def pretokens(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pretokens start, and those that are a two-letter contraction (``'ll 've 're``).
 
@@ -401,8 +554,10 @@ def token_lengths(docs: DataFrame, text_col: str = "text", ranks_file: str = RAN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_file)
         for batch in batches:
-            arrays = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(enc.totals(batch.column(len(kept)).to_pylist()), pa.int32())], [*kept, "n_tokens"])
+            arrays, texts = [batch.column(i) for i in range(len(kept))], batch.column(len(kept))
+            step = 1 + 2 * _MANY * len(texts) // max(1, texts.nbytes)  # rows that are strings at once
+            totals = [n for i in range(0, len(texts), step) for n in enc.totals(texts.slice(i, step).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int32())], [*kept, "n_tokens"])
         enc.forget()
         enc.whole.forget()
 

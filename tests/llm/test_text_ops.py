@@ -1,6 +1,7 @@
 """Operators over texts: token counts, fingerprints, quality, packing, personal data."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -200,3 +201,32 @@ def test_totals_are_those_of_the_prefix_programme():
     counts, begins = enc.prefix_counts(texts)
     assert enc.totals([*texts, None, ""]) == [*counts[begins[1:] - 2].tolist(), None, 0]
     assert all(enc.count(w.encode()) == enc.byte_counts(w.encode())[-1] for text in texts[:300] for words in token_counts.split(text) for w in words)
+
+
+def test_new_pretokens_are_merged_together():
+    enc, rng, calls = token_counts.Encoder(), random.Random(6), []
+    words = ["".join(rng.choice("aeinrstzé") for _ in range(rng.randint(6, 14))) for _ in range(4000)]
+    each = [enc.count(w.encode()) for w in words]
+    enc.totals(["tables made once"])
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        totals = enc.totals([" " + " ".join(words[i : i + 100]) for i in range(0, 4000, 100)])
+    finally:
+        sys.setprofile(None)
+    assert totals == [sum(enc.count((" " + w).encode()) for w in words[i : i + 100]) for i in range(0, 4000, 100)]
+    assert len(calls) < len(words)  # none for each
+    odd = ["".join(rng.choice("aaeinrst' .é日😀\n") for _ in range(rng.randint(1, 14))) for _ in range(4000)] + ["a" * n for n in range(1, 60)]
+    assert enc.counts(words).tolist() == each and enc.counts(odd).tolist() == [enc.count(w.encode()) for w in odd] and enc.counts([]).tolist() == []
+
+
+@pytest.mark.parametrize(("whole", "chars", "few", "long"), [(300_000, 4_000_000, 1 << 16, 1 << 20), (20, 4_000_000, 9, 64), (300_000, 30, 9, 16)])
+def test_totals_by_parts_between_blanks(monkeypatch, whole, chars, few, long):
+    for name, value in (("_CACHE_WHOLE", whole), ("_CACHE_CHARS", chars), ("_FEW", few), ("_LONG", long), ("_MANY", 2 * long)):
+        monkeypatch.setattr(token_counts, name, value)
+    enc, rng = token_counts.Encoder(), random.Random(7)
+    true = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    pieces = [" ", " ", "  ", "\n", " \n", "\t", "\xa0", "　", "'s", "'ll", "'", "the", "of,", "Word", "zqx", "日本語", "12", "½", "!?", "é", "(a)"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [" ", "  ", "a ", " a", "\n a", "a \n", " \n" * 50, "x" * 200, " x" * 200, "日" * 100]
+    assert enc.totals([*texts, None]) == [*(len(true.encode_ordinary(t)) for t in texts), None]
+    assert all(enc.totals([t]) == [len(true.encode_ordinary(t))] for t in texts[::25])
