@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 WARC_DATE = "2026-01-01T00:00:00Z"
 _BLOCKS = "p|div|br|li|ul|ol|tr|td|th|table|h1|h2|h3|h4|h5|h6|section|article|header|footer|nav|aside|main|title|body|blockquote|pre|form|option|dd|dt|hr"
 _HIDDEN = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>|<template\\b.*?</template\\s*>"
+#: The same with its sign in front: one thing to look for at each place of a page, not five.
+_HIDDEN_AT_SIGN = "(?is)<(?:" + _HIDDEN.removeprefix("(?is)").replace("|<", "|").removeprefix("<") + ")"
 _BLOCK = f"(?i)</?(?:{_BLOCKS})(?:[\\s/][^>]*)?>"
 _TAG = "</?[A-Za-z!?][^>]*>"
 #: Named references that end in a semicolon, those that pages have most first: a map is searched in its order.
@@ -53,7 +55,7 @@ def _digest(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Visible text: hidden elements and tags go, block elements end lines, character references (named, decimal, hexadecimal; with their semicolon) are decoded, once."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _BLOCK, "\n"), _TAG, "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _HIDDEN_AT_SIGN, ""), _BLOCK, "\n"), _TAG, "")  # to be named once: a lambda's text isn't shared
     names = F.create_map(*(F.lit(x) for pair in _NAMED.items() for x in pair))
     code = lambda n: F.when(n.rlike("^#[0-9]"), F.substring(n, 2, 7).cast("int")).when(n.rlike("^#[xX]"), F.conv(F.substring(n, 3, 6), 16, 10).cast("int"))
     valid = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
@@ -61,8 +63,8 @@ def plain_text(html: Column) -> Column:
     pieces = F.transform(F.split(t, "&"), lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _REFERENCE, 1).alias("n")))  # a reference is looked for once
     piece = lambda x, n: F.coalesce(F.concat(sign(n), x.substr(F.length(n) + 2, F.length(x))), F.concat(F.lit("&"), x))
     decoded = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p["x"]).otherwise(piece(p["x"], p["n"]))), "")
-    t = F.when(t.contains("&"), decoded).otherwise(t)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[ \t\f\r ]+", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    lines = F.transform(F.split(F.regexp_replace(decoded, "[ \t\f\r ]+", " "), "\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = WARC_DATE) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import html
 import random
+import re
 import time
 import zlib
 
@@ -75,6 +76,24 @@ def test_references_are_decoded_once(spark):
     assert got == want.replace("&amp;", "&")
 
 
+def test_plain_text_of_odd_pages(spark):
+    rng = random.Random(2)
+    bits = ["<", ">", "&", ";", " ", "  ", "\n", "\t", "\r", "\f", "\v", "\u00a0", "\u3000", "a", "Z", "é", "😀", "<p>", "</P >", "<br/>", "<b x='y'>", "</b>", "<a <p> b>", "<!-- ", "-->", "<script>", "<SCRIPT a=1>", "</script >", "<scripts>", "<style>", "</style", "<noscript>", "</noscript>", "<template>", "</template>", "&amp;", "&nbsp;", "&Tab;", "&NewLine;", "&#32;", "&#10;", "&#xe9;", "&lt;p&gt;", "&copy", "&nosuch;", "<pre", "\\", "$1"]
+    pages = ["", "\n", " ", "&", *("".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(3000))]
+
+    def plain(page):
+        t = re.sub(warc._TAG, "", re.sub(warc._BLOCK, "\n", re.sub(warc._HIDDEN, "", page, flags=re.A), flags=re.A))
+        first, *rest = t.split("&")
+        for x in rest:
+            name = re.match(warc._REFERENCE, x)
+            sign = None if name is None else html.unescape(f"&{name[1]};") if name[1][0] == "#" else warc._NAMED.get(name[1])
+            first += "&" + x if sign is None else sign + x[name.end() :]
+        return re.sub(" ?\n[ \n]*", "\n", re.sub("[ \t\f\r\u00a0]+", " ", first)).strip(" \n")
+
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", warc.plain_text(F.col("h")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == list(map(plain, pages))
+
+
 def test_links_in_three_quotings(spark):
     page = "<a href=\"x y\">1</a><a class=k href='y'>2</a><A HREF=z>3</a><a data-href=no>4</a>"
     pages = spark.createDataFrame([(1, "u", page)], "page_id int, url string, html string")

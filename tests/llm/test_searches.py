@@ -281,6 +281,10 @@ def test_references_are_looked_for_once(spark):
     assert warc.plain_text(F.col("x"))._jc.toString().count("regexp_extract") == 1
 
 
+def test_tags_are_taken_out_once(spark):
+    assert warc.plain_text(F.col("x"))._jc.toString().count("!--.*?-->") == 1
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(6)
     prints = rng.integers(0, 1 << 63, 50).astype(np.uint64)
