@@ -22,14 +22,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relgraph.llm.shared import cut
 from relgraph.llm.token_counts import RANKS_FILE, token_lengths
 
 CAPACITY, BUCKETS = 2048, 64
-RUN_SCHEMA = "length int, low bigint, high bigint, per_window int, first_window bigint, first_offset int"
+RUN_TYPES = {"length": pa.int32(), "low": pa.int64(), "high": pa.int64(), "per_window": pa.int32(), "first_window": pa.int64(), "first_offset": pa.int32()}
 
 
 class RoomTree:
@@ -99,6 +100,12 @@ def plan(counts: Iterable[tuple[int, int]], capacity: int = CAPACITY) -> list[tu
     return runs
 
 
+def _table(spark: SparkSession, runs: list[tuple]) -> DataFrame:
+    """``runs`` by Arrow: a list of rows would start Python workers of another kind beside those of the operators, which stay."""
+    columns = [list(c) for c in zip(*runs, strict=True)] or [[] for _ in RUN_TYPES]
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, RUN_TYPES.values(), strict=True)], names=[*RUN_TYPES]))
+
+
 def pack(lengths: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", length_col: str = "n_tokens") -> DataFrame:
     """``(doc_id, piece, piece_start, piece_tokens, window_id, window_offset)``; ``lengths`` is read twice."""
     if capacity < 1:
@@ -112,7 +119,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", l
     before = cells.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(spark.createDataFrame(runs, RUN_SCHEMA)), "length").where("rank >= low AND rank < high")
+    placed = ranked.join(F.broadcast(_table(spark, runs)), "length").where("rank >= low AND rank < high")
     nth = F.col("rank") - F.col("low")
     return placed.select(
         "doc_id",

@@ -187,6 +187,30 @@ def test_cut_frees_its_shuffle(spark):
     assert len(left) <= 4  # those of the count that followed
 
 
+def test_sets_are_sifted_and_collected_in_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a text of number {i} with words") for i in range(300)], "doc_id bigint, text string")
+    plans = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared.cut(df))
+    asked = docs.where("doc_id < 100")
+    found = {r["node"]: ngram_join._unpacked(pa.scalar(bytes(r["grams"]))) for r in ngram_join._grams(docs, asked, 2).collect()}
+    assert [p.count("MapInArrow") for p in plans] == [1]  # each pass takes a Python worker
+    rows = pa.RecordBatch.from_pylist([r.asDict() for r in asked.collect()])
+    for _, grams in ngram_join._sets(rows, 2):
+        assert len(found[ngram_join.node(grams)]) == len(grams)
+    assert len(found) < 150
+
+
+def test_packing_starts_no_other_workers(spark, monkeypatch):
+    lengths = spark.range(1000).selectExpr("id AS doc_id", "CAST(id * 7 % 5000 AS INT) AS n_tokens")
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of a Python list need Python workers without an operator")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    assert packing.pack(lengths).agg(F.sum("piece_tokens")).first()[0] == sum(i * 7 % 5000 for i in range(1000))
+    assert packing.pack(lengths.where("n_tokens < 0")).count() == 0
+
+
 def test_one_of_each(spark):
     rows = corpus(random.Random(3))
     docs = frame(spark, rows)
