@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relgraph.functions import text as tx
+from relgraph.storage import cut
 
 DIRECTORY_FILES = 12
 ALL = 1 << 30
@@ -52,13 +53,15 @@ def directory_files(links: DataFrame, paths: DataFrame, most: int = DIRECTORY_FI
 def matching_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """``calls(page_id, call)`` with each of ``routes(route)`` that they begin with.
 
-    They meet on the first segment; routes whose first segment is ``*`` meet all calls."""
-    head = lambda c: F.get(F.split(F.col(c), "/"), 1)
-    served = routes.withColumn("head", head("route"))
-    called = calls.withColumn("head", head("call"))
-    plain = called.join(served.where("head <> '*'"), "head").select("page_id", "call", "route")
-    any_ = called.drop("head").join(served.where("head = '*'").drop("head")).select("page_id", "call", "route")
-    return plain.unionByName(any_).where(tx.route_matches(F.col("route"), F.col("call")))
+    Routes have few shapes (which segments are ``*``). A call is cut to each shape that routes of its first segment have,
+    and what comes out is the route that it meets: rows follow the calls and the matches, not calls times routes."""
+    served = routes.select("route", tx.route_head(F.col("route")).alias("head"), tx.route_shape(F.col("route")).alias("shape")).where(F.size("shape") >= 2)
+    shapes = cut(served.select("head", "shape").distinct())
+    called = calls.select("page_id", "call", tx.route_head(F.col("call")).alias("head"))
+    plain = called.join(shapes.where("head <> '*'"), "head").select("page_id", "call", "shape")
+    any_ = called.drop("head").join(shapes.where("head = '*'").select("shape")).select("page_id", "call", "shape")
+    fits = plain.unionByName(any_).where(F.size(F.split("call", "/")) >= F.size("shape"))
+    return fits.withColumn("route", tx.in_shape(F.col("call"), F.col("shape"))).join(served.select("route", "shape"), ["route", "shape"]).select("page_id", "call", "route")
 
 
 # Candidates by language
