@@ -43,8 +43,12 @@ def first_match(asked: DataFrame, known: DataFrame, keys: list[str]) -> DataFram
 
 
 def directory_files(links: DataFrame, paths: DataFrame, most: int = DIRECTORY_FILES) -> DataFrame:
-    """``(page_id, href, path)``: the first files of the directory that ``links(page_id, own, href)`` name."""
-    held = paths.select(tx.dirname(F.col("path")).alias("href"), "path")
+    """``(page_id, href, path)``: the first files of the directory that ``links(page_id, own, href)`` name.
+
+    Of a directory only the first ``most + 1`` files meet its links, since no more than one of them is a link's own."""
+    first = Window.partitionBy("href").orderBy("path")
+    held = paths.select(tx.dirname(F.col("path")).alias("href"), "path").distinct()
+    held = held.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most + 1).select("href", "path")
     found = links.join(held, "href").where(F.col("path") != F.col("own"))
     order = Window.partitionBy("page_id", "href").orderBy("path")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("page_id", "href", "path")

@@ -51,3 +51,13 @@ def test_literal_stars_in_calls(spark):
     calls = spark.createDataFrame([(1, "/*/x"), (2, "/a/*"), (3, "/")], "page_id int, call string")
     routes = spark.createDataFrame([("/*/x",), ("/a/b",), ("/a/*",), ("/",), ("*",)], "route string")
     assert sorted((r["page_id"], r["route"]) for r in resolve.matching_routes(calls, routes).collect()) == [(1, "/*/x"), (2, "/a/*"), (3, "/")]
+
+
+def test_large_directory(spark):
+    n = 600
+    paths = spark.range(n).select(F.format_string("/en/%04d", "id").alias("path"))
+    links = paths.select(F.col("path").alias("page_id"), F.col("path").alias("own"), F.lit("/en").alias("href"))
+    rows, most = most_rows(spark, lambda: resolve.directory_files(links, paths).collect())
+    of = lambda p: sorted(r["path"] for r in rows if r["page_id"] == p)
+    assert len(rows) == 12 * n and of("/en/0003") == [f"/en/{k:04d}" for k in range(13) if k != 3] and of("/en/0500") == [f"/en/{k:04d}" for k in range(12)]
+    assert most < 20 * n  # n * n, when a link met all files of its directory
