@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgraph.operators import graph
-from relgraph.storage import table
+from relgraph.storage import spread_out, table
 
 CUT_DATE = "2024-01-20"
 
@@ -26,13 +26,17 @@ def page_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"), "html")
 
 
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "part"), "p_partkey")
+
+
 def part_path() -> Column:
     return F.concat(F.lit("parts/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("_"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers; the richest suppliers are always included."""
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    p, s = part_rows(spark, sf_dir), spread_out(table(spark, sf_dir, "supplier"), "s_suppkey")
     parts = p.select(part_path().alias("path"), F.array("p_brand").alias("symbols"), F.col("p_type").alias("description"), F.lit("part").alias("file_type"), (F.col("p_size") * 100).cast("bigint").alias("size"), F.lit(False).alias("always_include"))
     suppliers = s.select(F.concat(F.lit("suppliers/"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("path"), F.array().cast("array<string>").alias("symbols"), F.col("s_name").alias("description"), F.lit("supplier").alias("file_type"), F.floor(F.abs("s_acctbal")).cast("bigint").alias("size"), (F.col("s_acctbal") > 9000).alias("always_include"))
     return parts.unionByName(suppliers)

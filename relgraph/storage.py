@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS = 50_000
+
+
+def spread_out(df: DataFrame, column: str, rows: int = ROWS) -> DataFrame:
+    """``df``, about so many rows a task: a small file is read by one task, however much is made of each of its rows.
+    For rows that are narrow as they are read."""
+    n = df.count()
+    return df if n <= rows else df.repartition(-(-n // rows), column)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once below ``spark.checkpoint.dir`` and read it back: later steps neither
     recompute it nor depend on the executors that made it. Where the setting is absent a

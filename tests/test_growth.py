@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from relgraph.operators import graph, resolve
+from relgraph.plans import catalog
 
 
 def most_rows(spark, run):
@@ -61,3 +62,8 @@ def test_large_directory(spark):
     of = lambda p: sorted(r["path"] for r in rows if r["page_id"] == p)
     assert len(rows) == 12 * n and of("/en/0003") == [f"/en/{k:04d}" for k in range(13) if k != 3] and of("/en/0500") == [f"/en/{k:04d}" for k in range(12)]
     assert most < 20 * n  # n * n, when a link met all files of its directory
+
+
+def test_small_file_of_many_rows(spark, tmp_path):
+    spark.range(120_000).select(F.col("id").alias("p_partkey"), F.lit("blue gear").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert catalog.QUERIES["python_extract"](spark, str(tmp_path)).rdd.getNumPartitions() == 3  # one task had all of them
