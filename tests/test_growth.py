@@ -1,8 +1,11 @@
 """Rows that no step may exceed: what joins give follows the input and the result, not their product."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from relgraph.operators import graph, resolve
+from relgraph.functions import text as tx
+from relgraph.operators import graph, resolve, scoring
 from relgraph.plans import catalog
 
 
@@ -67,3 +70,21 @@ def test_large_directory(spark):
 def test_small_file_of_many_rows(spark, tmp_path):
     spark.range(120_000).select(F.col("id").alias("p_partkey"), F.lit("blue gear").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert catalog.QUERIES["python_extract"](spark, str(tmp_path)).rdd.getNumPartitions() == 3  # one task had all of them
+
+
+def test_terms_of_whole_texts(spark):
+    texts = ["HTTPServer snake_case X1", "AB1 aBC1 ABc1D", "KKiss İX straße", "", None, "plain words, plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.terms(F.col("t")).alias("terms"), tx.term_counts(F.col("t")).alias("counts"), tx.term_set(F.col("t")).alias("set")).collect()
+    for r in rows:
+        assert (r["terms"] is None) == (r["counts"] is None) == (r["set"] is None)
+        if r["terms"] is not None:
+            assert {c["term"]: c["tf"] for c in r["counts"]} == Counter(r["terms"]) and sorted(r["set"]) == sorted(set(r["terms"]))
+
+
+def test_parts_of_filenames(spark):
+    n = 400
+    nodes = spark.range(n).select(F.concat(F.lit("gears/BlueGear_"), "id").alias("path"))
+    asked = spark.createDataFrame([(1, "gear"), (1, "lue"), (2, "zebra")], "query_id int, term string")
+    rows, most = most_rows(spark, lambda: scoring.partial_terms(nodes, asked).collect())
+    assert len(rows) == n and {(r["query_id"], r["term"]) for r in rows} == {(1, "lue")}
+    assert most <= n  # names met their nodes again: eight rows for each
