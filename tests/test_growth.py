@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from relgraph.functions import text as tx
-from relgraph.operators import graph, resolve, scoring
+from relgraph.operators import graph, resolve, scoring, slicing
 from relgraph.plans import catalog
 
 
@@ -88,3 +88,13 @@ def test_parts_of_filenames(spark):
     rows, most = most_rows(spark, lambda: scoring.partial_terms(nodes, asked).collect())
     assert len(rows) == n and {(r["query_id"], r["term"]) for r in rows} == {(1, "lue")}
     assert most <= n  # names met their nodes again: eight rows for each
+
+
+def test_contents_are_not_broadcast(spark, tmp_path):
+    spark.range(3000).select(F.format_string("f%d.py", "id").alias("path")).write.parquet(str(tmp_path / "f"))
+    contents = spark.read.parquet(str(tmp_path / "f")).withColumn("text", F.repeat(F.lit("x = 1\n"), 100))  # a small file, from which much is made
+    asked = spark.createDataFrame([(1, "x")], "query_id int, query string")
+    top = contents.where("path = 'f7.py'").select(F.lit(1).alias("query_id"), F.lit(1).alias("position"), "path")
+    packed = slicing.pack(top, contents, asked)
+    assert [r["path"] for r in packed.collect()] == ["f7.py"]
+    assert "repeat(" not in packed._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[-1]
