@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from relgraph.functions import text as tx
-from relgraph.operators import graph, resolve, scoring, slicing
+from relgraph.operators import graph, propagate, resolve, retrieve, scoring, slicing
 from relgraph.plans import catalog
 
 
@@ -98,3 +98,25 @@ def test_contents_are_not_broadcast(spark, tmp_path):
     packed = slicing.pack(top, contents, asked)
     assert [r["path"] for r in packed.collect()] == ["f7.py"]
     assert "repeat(" not in packed._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[-1]
+
+
+def test_knees_by_steps(spark):
+    values = {1: [1.0, 0.9, 0.61, 0.36, 0.2, 0.1], 2: [1.0, 0.59, 0.1], 3: [1.0] * 5 + [0.601] * 4, 4: [0.3], 5: [1.0, 0.8, 0.8**2, 0.8**3, 0.8**5, 0.8**7, 0.8**10]}
+    rows = spark.createDataFrame([(q, f"p{k}", v) for q, own in values.items() for k, v in enumerate(own)], "query_id int, path string, relevance double")
+    for r in retrieve.knees(rows).collect():
+        own = values[r["query_id"]]
+        assert (r["knee"], r["qualified"], r["reached"]) == (next((k for k in range(1, len(own)) if own[k] < own[k - 1] * 0.6), len(own)), sum(v >= 0.15 for v in own), len(own))
+    many = spark.range(20_000).select((F.col("id") % 2).alias("query_id"), F.col("id").cast("string").alias("path"), (1 / (1 + F.col("id") / 2000)).alias("relevance"))
+    found = retrieve.knees(many)
+    assert [r["knee"] for r in found.collect()] == [10_000, 10_000]
+    assert "lag(low" in found._jdf.queryExecution().optimizedPlan().toString()  # of steps; a window had all rows of a query
+
+
+def test_reasons_of_the_asked(spark):
+    n = 1000
+    edges = spark.range(n).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), F.lit(5).alias("weight"), F.array(F.lit("calls")).alias("relations"))
+    best = edges.select(F.lit(1).alias("query_id"), F.col("dst").alias("path"), F.lit(0.5).alias("relevance")).union(spark.createDataFrame([(1, "hub", 1.0)], "query_id int, path string, relevance double"))
+    seeds = best.where("path = 'hub'").withColumn("seed_rank", F.lit(1))
+    whole = {r["path"]: r["reason"] for r in propagate.reasons(edges, best, seeds).collect()}
+    some = propagate.reasons(edges, best, seeds, best.where("path IN ('hub', 'n7')").select("query_id", "path"))
+    assert len(whole) == n + 1 and {r["path"]: r["reason"] for r in some.collect()} == {k: whole[k] for k in ("hub", "n7")} == {"hub": "direct metadata match", "n7": "linked → hub (w=5, calls)"}
